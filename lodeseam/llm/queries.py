@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality_rules, sentencepieces
+from . import decontaminate, html_text, pii, quality_rules, sentencepieces
 from .common import table
 
 
@@ -24,11 +24,16 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op7_personal_data": op7_personal_data,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
