@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, pii, quality_rules, sentencepieces
+from . import decontaminate, html_text, near_duplicates, pii, quality_rules, sentencepieces
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op7_personal_data": op7_personal_data,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_html_text": op10_html_text,
 }
 
