@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_duplicates, pii, quality_rules, sentencepieces
+from . import decontaminate, html_text, near_duplicates, pii, quality_rules, sentencepieces, suffix_dedup
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_html_text": op10_html_text,
