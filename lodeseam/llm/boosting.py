@@ -70,14 +70,23 @@ def decision_tree(x: np.ndarray, y: np.ndarray, depth: int = 5, least: float = 2
 
 
 def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept that turn raw scores into log-odds, by Newton steps on smoothed targets."""
+    """Slope and intercept that turn raw scores into log-odds: damped Newton steps on smoothed targets, slope drawn to 1."""
     up, down = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.column_stack([raw, np.ones(len(raw))])
-    w = np.array([1.0, 0.0])
+    x, prior = np.column_stack([raw, np.ones(len(raw))]), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * ((w - prior) ** 2).sum())
+
+    w = prior.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - target) + w - prior)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return float(w[0]), float(w[1])
 
 
