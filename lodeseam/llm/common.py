@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts that a Python worker holds as objects at one time, in bytes.
 CHUNK_BYTES = 4 << 20
+#: Labels whose crc32(doc_id as text) is divisible by this are kept apart from every fit.
+FOLDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -61,3 +65,33 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def shipped(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast of the pickled value; pickle.loads(x.value) in a task gives it back."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, most_bytes: int) -> list[tuple[int, bytes, int]]:
+    """A bounded sample (doc_id, text, label 0 or 1): at most `most` documents of a label and `most_bytes` of whole texts.
+
+    In the order of a hash of the id, without the labels kept apart; of several labels of a document the largest counts.
+    """
+    usable = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids: dict[int, int] = {}
+    for label in (0, 1):
+        ids |= {r.doc_id: label for r in usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
+    if not ids:
+        return []
+    spark = docs.sparkSession
+    own = docs.select("doc_id", "text").where("text IS NOT NULL")
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    sizes: dict[int, int] = {}
+    for r in own.join(wanted, "doc_id", "left_semi").select("doc_id", F.octet_length("text").alias("n")).collect():
+        sizes[r.doc_id] = max(r.n, sizes.get(r.doc_id, 0))
+    taken, total = [], 0
+    for i in sorted(sizes, key=lambda i: (zlib.crc32(b"%d" % i), i)):
+        if total + sizes[i] <= most_bytes:
+            taken.append(i)
+            total += sizes[i]
+    if not taken:
+        return []
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id long"))
+    rows = {r.doc_id: r.text for r in own.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(i, rows[i].encode(), ids[i]) for i in taken if i in rows]

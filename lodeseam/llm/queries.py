@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_duplicates, pii, quality_rules, sentencepieces, suffix_dedup, toxicity
+from . import decontaminate, html_text, near_duplicates, pii, quality_classifier, quality_rules, sentencepieces, suffix_dedup, toxicity, url_lists
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.digest(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -45,12 +53,15 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_lists": op5_url_lists,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op5_url_lists": url_lists.ORACLE,
 }

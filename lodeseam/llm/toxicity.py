@@ -20,14 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import gru
 from .boosting import calibrated
-from .common import chunks, shipped, texts
+from .common import FOLDS, chunks, labelled, shipped, texts
 from .decontaminate import words_of
 
-FOLDS = 5
 SAMPLE = 1500
 SAMPLE_BYTES = 24 << 20
 #: Words and character strings with a vector of their own: those most tied to the label, at least Z_LEAST standard errors.
@@ -210,34 +208,8 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes, int]]:
-    """The bounded sample as (doc_id, text, label), in the order of a hash of the id."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = {}
-    for label in (0, 1):
-        ids |= {r.doc_id: label for r in usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
-    if not ids:
-        return []
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
-    own = docs.select("doc_id", "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    sizes: dict[int, int] = {}
-    for r in own.select("doc_id", F.octet_length("text").alias("n")).collect():
-        sizes[r.doc_id] = max(r.n, sizes.get(r.doc_id, 0))
-    order = sorted(sizes, key=lambda i: zlib.crc32(b"%d" % i))
-    taken, total = [], 0
-    for i in order:
-        if total + sizes[i] <= SAMPLE_BYTES:
-            taken.append(i)
-            total += sizes[i]
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in taken or [-1]], "doc_id long"))
-    rows = {r.doc_id: r.text for r in own.join(chosen, "doc_id", "left_semi").collect()}
-    return [(i, rows[i].encode(), ids[i]) for i in taken if i in rows]
-
-
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sample(docs, labels)
+    rows = labelled(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES)
     return Model([words_of(t) for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
