@@ -10,8 +10,8 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
 3. Pairs whose similarity of largest likelihood is too low are left; the others are confirmed on the whole sets, and links
    are joined to components.
 4. Groups that still hold several components are gone through in blocks of BLOCK members: members of different
-   components are compared by their sketches inside a task, only plausible pairs leave it, and these are confirmed as well.
-   So no pair of a group goes without a comparison unless it is connected already.
+   components are compared by their sketches inside a task, plausible pairs are confirmed there on the whole sets, and
+   only links that join components leave it. No pair of a group goes without a comparison unless it is connected already.
 
 With 36 bands of six registers, a pair at the threshold shares no band with a probability of 2e-8; the estimate must miss
 by MARGIN, five standard errors, to lose one. Shingles and sets are named by 64-bit hashes.
@@ -38,7 +38,7 @@ from .setsketch import BANDS, REGISTERS, ROWS, at_least, mix, sketches
 WORDS = 5
 PERCENT = 85
 MARGIN = 0.12
-BLOCK = 1024
+BLOCK = 512
 #: Ids of documents to be fetched are broadcast up to this number; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 KNOWN_WORDS = 500_000
@@ -162,36 +162,61 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame
     return written(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "fetched")
 
 
-def _across(groups: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components inside each group (band, node, root, n, sketch), in blocks."""
+def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links that join different components inside each group (band, pos, node, root, n, sketch, text), in blocks.
+
+    A pair is looked at in the first band that it shares, and confirmed on the whole sets where its members are not
+    connected yet by their components or by links found before in the block, so a block gives fewer links than members.
+    """
     sized = groups.join(groups.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = sized.withColumn("own", own).withColumn("other", other)
-    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch")
+    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "node", "root", "n", "sketch", "text")
     dealt = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, n, own = (t.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+    def links(t: pa.Table, shingles: Shingles) -> list[tuple[int, int]]:
+        node, root, n, own, pos = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "pos"))
         s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        a, b = [], []
+        text, sets, up, out = t.column("text"), {}, {r: r for r in root.tolist()}, []
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(text[i].as_py().encode())
+            return sets[i]
+
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node))
             y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
             if not same_block:
                 y = y[own[y] != own[x]]
-            if len(y):
-                y = y[at_least(percent / 100 - MARGIN, n[x], n[y], *_counts(s[x], s[y]))]
-                a.append(np.full(len(y), node[x]))
-                b.append(node[y])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if not len(y):
+                continue
+            y = y[at_least(percent / 100 - MARGIN, n[x], n[y], *_counts(s[x], s[y]))]
+            y = y[(s[x] == s[y]).reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == pos[x]]
+            for z in y.tolist():
+                a, b = top(int(root[x])), top(int(root[z]))
+                if a != b:
+                    u, v = of(x), of(z)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    if common * 100 >= percent * (len(u) + len(v) - common):
+                        up[max(a, b)] = min(a, b)
+                        out.append((int(node[x]), int(node[z])))
+        return out
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        shingles = Shingles(size)
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            a, b = pairs(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            found = links(t, shingles)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         last = None
         for batch in batches:
@@ -209,7 +234,7 @@ def _across(groups: DataFrame, percent: int) -> DataFrame:
         if held:
             yield out(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -218,18 +243,17 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))
-    members = classes.select("node", F.explode(bands).alias("band"))
+    members = classes.select("node", F.posexplode(bands).alias("pos", "band"))
     groups = written(members.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "groups")
     shared = written(members.join(groups, "band"), "shared")
     fetched = _fetched(docs, signed, shared.select("node").distinct())
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(_plausible(stars, classes, percent), fetched, percent, size), "stars")
     roots = components(links)
-    placed = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("band", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node")
-    more = _across(rest, percent).join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(more, fetched, percent, size), "more")
+    rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node").join(fetched, "node")
+    more = written(_across(rest, percent, size), "more")
     roots = components(links.unionByName(more))
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
