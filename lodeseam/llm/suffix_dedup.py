@@ -40,8 +40,8 @@ JOINED = 24 << 20
 HASHED = 2 << 20
 HOT = 256
 FURTHER = tuple(range(8))
-SHARD = 1 << 20
-TASK = 4 << 20
+SHARD = 128 << 10
+TASK = 512 << 10
 #: Spans are joined to the texts by broadcast while they hold at most so many bytes.
 BROADCAST = 32 << 20
 
