@@ -62,14 +62,21 @@ def _pieces(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), ends - np.fromiter(map(len, found), np.int64, len(found)), ends
 
 
-def _runs(doc: np.ndarray, tie: np.ndarray, found: list[bytes]) -> np.ndarray:
+def _runs(doc: np.ndarray, tie: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The runs to compare, and the spans that repeat inside their own document."""
     raw, starts, ends = _pieces(found)
-    piece, first, n, key, odd = keyed_runs(raw, starts, ends, SIZE, GRAM)
+    piece, first, n, key, odd, known = keyed_runs(raw, starts, ends, SIZE, GRAM)
+    sure = None
+    if known.any():
+        k = piece[known]
+        at = first[known] - starts[k]
+        sure = np.stack([doc[k], tie[k], at, at + n[known] + SIZE - 1], axis=1).astype("<i8")
+        piece, first, n, key, odd = (x[~known] for x in (piece, first, n, key, odd))
     out = np.zeros(len(first), RUN)
     held = memoryview(raw)
     out["same"] = [xxhash.xxh3_64_intdigest(held[a:b]) for a, b in zip(first.tolist(), (first + n + SIZE - 1).tolist(), strict=True)]
     out["key"], out["doc"], out["tie"], out["at"], out["n"], out["odd"] = key, doc[piece], tie[piece], first - starts[piece], n, odd
-    return out
+    return out, sure
 
 
 def _sorted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +95,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        sure: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -100,17 +108,22 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
             parts = np.split(runs, cuts) if len(runs) else []
             names = bucket[np.concatenate([[0], cuts])].tolist() if len(runs) else []
             rows = [(b, p.tobytes(), None) for b, p in zip(names, parts, strict=True)]
-            rows += [(i % buckets, None, p.tobytes()) for i, p in enumerate(np.array_split(known, 1 + len(known) // 4096)) if len(p)]
+            spans = np.stack([known["doc"], known["tie"], known["at"], known["at"] + known["n"].astype(np.int64) + SIZE - 1], axis=1).astype("<i8")
+            spans = np.concatenate([spans, *sure])
+            rows += [(i % buckets, None, p.tobytes()) for i, p in enumerate(np.array_split(spans, 1 + len(spans) // 4096)) if len(p)]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "runs", "repeats"])
 
         for batch in chunks(batches, "text", HASHED):
             found = texts(batch, "text")
-            held.append(_runs(batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), found))
+            runs, spans = _runs(batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), found)
+            held.append(runs)
+            if spans is not None:
+                sure.append(spans)
             size += sum(map(len, found))
             if size > JOINED:
                 yield out()
-                held, size = [], 0
+                held, sure, size = [], [], 0
         if held:
             yield out()
 
@@ -142,10 +155,10 @@ def _compared(dealt: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             held += [np.frombuffer(x, RUN) for x in batch.column("runs").to_pylist() if x]
-            known = [np.frombuffer(x, RUN) for x in batch.column("repeats").to_pylist() if x]
+            known = [np.frombuffer(x, "<i8").reshape(-1, 4) for x in batch.column("repeats").to_pylist() if x]
             if known:
                 k = np.concatenate(known)
-                yield _spans(k["doc"], k["tie"], k["at"], k["at"] + k["n"].astype(np.int64) + SIZE - 1)
+                yield _spans(k[:, 0], k[:, 1], k[:, 2], k[:, 3])
         if not held:
             return
         runs = np.concatenate(held)
@@ -177,7 +190,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if hot:
                     parts = [text[r["s"] : r["e"]] for r in hot]
                     joined, starts, ends = _pieces(parts)
-                    piece, first, n, key, _ = keyed_runs(joined, starts, ends, SIZE, GRAM, seeds=FURTHER)
+                    piece, first, n, key, _, _ = keyed_runs(joined, starts, ends, SIZE, GRAM, seeds=FURTHER)
                     begins = first - starts[piece]
                     keys += key.view(np.int64).tolist()
                     at += [hot[p]["s"] + b for p, b in zip(piece.tolist(), begins.tolist(), strict=True)]

@@ -44,58 +44,79 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def keyed_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = SIZE, gram: int = GRAM, most: int = 256, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one key inside the pieces [starts, ends) of raw: piece, first window, windows, key, repeats.
+    """Runs of windows with one key inside the pieces [starts, ends) of raw: piece, first window, windows, key, repeats, known.
 
     Windows never reach over a piece's end. A run has `most` windows at most. `repeats` tells that the key's string may
-    occur more than once in the run, without which no two windows of a run are equal. With several seeds the key joins the
-    smallest strings of several orders.
+    occur more than once in the run, without which no two windows of a run are equal. Where a run's bytes are periodic,
+    the windows that repeat the one a period before are runs of their own, and `known` to repeat. With several seeds the
+    key joins the smallest strings of several orders.
     """
     none = np.zeros(0, np.int64)
-    if len(raw) < size:
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    width = size - gram + 1
-    key = None
-    for seed in seeds:
-        hashes = gram_hashes(raw, gram, seed)
-        least = sliding_minimum(hashes, width)
-        key = least if key is None else mix(key * _ODD + least)
+    empty = (none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
     long = ends - starts >= size
-    starts_, counts, pieces = starts[long], (ends - starts - size + 1)[long], np.flatnonzero(long)
-    if not len(pieces):
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    if len(raw) < size or not long.any():
+        return empty
+    width = size - gram + 1
+    hashes = gram_hashes(raw, gram, seeds[0])
+    least = sliding_minimum(hashes, width)
+    key = least
+    for seed in seeds[1:]:
+        key = mix(key * _ODD + sliding_minimum(gram_hashes(raw, gram, seed), width))
+    starts, counts, pieces = starts[long], (ends - starts - size + 1)[long], np.flatnonzero(long)
     valid = np.zeros(len(key) + 1, np.int32)
-    np.add.at(valid, starts_, 1)
-    np.add.at(valid, starts_ + counts, -1)
-    on = np.cumsum(valid[:-1]) > 0
+    np.add.at(valid, starts, 1)
+    np.add.at(valid, starts + counts, -1)
     edge = np.empty(len(key), bool)
     edge[0] = True
     edge[1:] = key[1:] != key[:-1]
-    edge[starts_] = True
-    edge &= on
+    edge[starts] = True
+    edge &= np.cumsum(valid[:-1]) > 0
     first = np.flatnonzero(edge)
     # A run ends before the next run or with its piece.
-    piece = np.searchsorted(starts_, first, side="right") - 1
-    last = np.minimum(np.append(first[1:], len(key)), starts_[piece] + counts[piece])
-    n = last - first
-    if (n > most).any():
-        parts = -(-n // most)
-        which = np.repeat(np.arange(len(first)), parts)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, last, piece = first[which] + step * most, last[which], piece[which]
-        n = np.minimum(last - first, most)
-        whole = parts[which] > 1
-    else:
-        whole = np.zeros(len(first), bool)
-    least = sliding_minimum(gram_hashes(raw, gram, seeds[0]), width)[first] if len(seeds) > 1 else key[first]
-    hashes = gram_hashes(raw, gram, seeds[0]) if len(seeds) > 1 else hashes
-    spots = np.flatnonzero(np.isin(hashes, np.unique(least), kind="sort") if len(hashes) < 64 else _among(hashes, least))
+    piece = np.searchsorted(starts, first, side="right") - 1
+    n = np.minimum(np.append(first[1:], len(key)), starts[piece] + counts[piece]) - first
+    own = least[first]
+    spots = np.flatnonzero(_among(hashes, own))
     low, high = np.searchsorted(spots, first), np.searchsorted(spots, first + n + width - 1)
-    found = np.zeros(len(first), np.int64)
+    met = np.zeros(len(first), np.int64)
     for j in range(min(16, int((high - low).max(initial=0)))):
         at = low + j
         inside = at < high
-        found[inside] += hashes[spots[at[inside]]] == least[inside]
-    return pieces[piece], first, n, key[first], (found > 1) | (high - low > 16) | whole
+        met[inside] += hashes[spots[at[inside]]] == own[inside]
+    repeats = (met > 1) | (high - low > 16)
+    known = np.zeros(len(first), bool)
+    # Periodic runs fall into their first period, the windows that repeat it, and the rest.
+    parts: list[tuple[int, int, int, bool, bool]] = []
+    for i in np.flatnonzero(repeats).tolist():
+        same = spots[low[i] : high[i]]
+        same = same[hashes[same] == own[i]][:2]
+        if len(same) < 2:
+            continue
+        period, a, b = int(same[1] - same[0]), int(first[i]), int(first[i] + n[i])
+        held = raw[a : b + size - 1]
+        off = np.flatnonzero(held[period:] != held[:-period])
+        repeated = min((int(off[0]) if len(off) else len(held) - period) - size + 1, b - a - period)
+        if repeated > 0:
+            parts.append((i, a, period, False, len(off) > 0 and period > 1))
+            parts.append((i, a + period, repeated, True, False))
+            if a + period + repeated < b:
+                parts.append((i, a + period + repeated, b - a - period - repeated, False, True))
+    if parts:
+        index, at, length, sure, again = (np.array(x) for x in zip(*parts, strict=True))
+        rest = np.ones(len(first), bool)
+        rest[index] = False
+        piece, key_of = np.concatenate([piece[rest], piece[index]]), np.concatenate([key[first[rest]], key[first[index]]])
+        first, n = np.concatenate([first[rest], at]), np.concatenate([n[rest], length])
+        repeats, known = np.concatenate([repeats[rest], again]), np.concatenate([known[rest], sure])
+    else:
+        key_of = key[first]
+    if (n[~known] > most).any():
+        count = np.where(known, 1, -(-n // most))
+        which = np.repeat(np.arange(len(first)), count)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        first, n, piece, key_of, known = first[which] + step * most, np.where(known[which], n[which], np.minimum(n[which] - step * most, most)), piece[which], key_of[which], known[which]
+        repeats = repeats[which] | (count[which] > 1)
+    return pieces[piece], first, n, key_of, repeats, known
 
 
 def _among(hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
