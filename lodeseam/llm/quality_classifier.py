@@ -28,7 +28,7 @@ from .common import chunks, labelled, shipped, texts, written
 from .quality_rules import base_counts
 
 SAMPLE = 2000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 16 << 20
 KEEP_AT = 0.5
 CLOSE = 1e-4
 #: Sites that are broadcast at most; beyond it they are joined by shuffle.

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from .common import FOLDS, chunks, labelled, shipped, texts
 from .decontaminate import words_of
 
 SAMPLE = 1500
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 16 << 20
 #: Words and character strings with a vector of their own: those most tied to the label, at least Z_LEAST standard errors.
 KNOWN = 4000
 Z_LEAST = 3.0
@@ -65,25 +64,39 @@ def _joined(rows: list[tuple[int, list[int]]], own: np.ndarray, chars: np.ndarra
     return np.concatenate([own[[i for i, _ in rows]], top], axis=1).astype(np.float32), which
 
 
-def _weights(found: list[set], y: np.ndarray) -> tuple[dict[bytes, int], np.ndarray]:
+def _weights(up: np.ndarray, down: np.ndarray, names: list[bytes], toxic: int, clean: int) -> tuple[dict[bytes, int], np.ndarray]:
     """The features most tied to the label, with the log-odds of standing in a toxic document, shrunk by their count."""
-    up, down = Counter(), Counter()
-    for s, label in zip(found, y, strict=True):
-        (up if label else down).update(s)
-    a, b = y.sum(), len(y) - y.sum()
-    names = sorted(up.keys() | down.keys())
-    u, d = np.array([up[w] for w in names], float), np.array([down[w] for w in names], float)
-    share = (u + d) / (a + b)
-    z = np.abs(u / a - d / b) / np.sqrt(share * (1 - share) * (1 / a + 1 / b) + 1e-12)
-    kept = [i for i in np.lexsort([np.arange(len(z)), -z])[:KNOWN] if z[i] >= Z_LEAST and u[i] + d[i] > 2]
-    odds = (np.log((u + 0.5) / (a + 1)) - np.log((d + 0.5) / (b + 1))) * (u + d) / (u + d + 3)
+    share = (up + down) / (toxic + clean)
+    z = np.abs(up / toxic - down / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
+    likely = np.flatnonzero((z >= Z_LEAST) & (up + down > 2))
+    kept = sorted(likely.tolist(), key=lambda i: (-z[i], names[i]))[:KNOWN]
+    odds = (np.log((up + 0.5) / (toxic + 1)) - np.log((down + 0.5) / (clean + 1))) * (up + down) / (up + down + 3)
     return {names[i]: k + 1 for k, i in enumerate(kept)}, np.array([0.0, *odds[kept]])
 
 
+class _Spelling:
+    """Words of a sample as numbers, and each word's character strings as numbers, in flat arrays."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {}
+        self.strings: dict[bytes, int] = {}
+        self.flat: list[np.ndarray] = []
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        out = []
+        for w in words_of(text):
+            i = self.words.get(w)
+            if i is None:
+                i = self.words[w] = len(self.words)
+                self.flat.append(np.unique([self.strings.setdefault(s, len(self.strings)) for s in gru.strings_of(w)]).astype(np.int32))
+            out.append(i)
+        return np.array(out, np.int32)
+
+
 class Model:
     """The fitted network with its inputs and calibration."""
 
-    def __init__(self, found: list[list[bytes]], y: np.ndarray):
+    def __init__(self, found: list[bytes], y: np.ndarray):
         self.empty = not 0 < y.sum() < len(y)
         if self.empty:
             return
@@ -92,23 +105,33 @@ class Model:
         if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
             held[:] = False
         learn = np.flatnonzero(~held)
-        sets = [set(w) for w in found]
-        word_rows, word_odds = _weights([sets[i] for i in learn], y[learn])
-        string_rows, string_odds = _weights([{x for w in sets[i] for x in gru.strings_of(w)} for i in learn], y[learn])
+        spell = _Spelling()
+        spelt = [spell(t) for t in found]
+        counts = np.zeros((2, len(spell.words)), np.int64), np.zeros((2, len(spell.strings)), np.int64)
+        for i in learn.tolist():
+            own_words = np.unique(spelt[i])
+            if len(own_words):
+                counts[0][y[i], own_words] += 1
+                counts[1][y[i], np.unique(np.concatenate([spell.flat[w] for w in own_words]))] += 1
+        toxic, clean = int(y[learn].sum()), int((1 - y[learn]).sum())
+        word_rows, word_odds = _weights(counts[0][1], counts[0][0], list(spell.words), toxic, clean)
+        string_rows, string_odds = _weights(counts[1][1], counts[1][0], list(spell.strings), toxic, clean)
         self.inputs = Inputs(word_rows, string_rows)
+        spell.strings, spell.flat = {}, []
         own = rng.normal(0, 0.05, (len(word_odds), gru.WIDE)).astype(np.float32)
         chars = rng.normal(0, 0.05, (len(string_odds), gru.WIDE)).astype(np.float32)
         own[:, 0], chars[:, 0] = word_odds / 2, string_odds / 2
         own[0], chars[0] = 0, 0
         # Word 0 fills short windows, word 1 stands for all words of which nothing has a row.
         rows: list = [(0, [0]), (0, [0])]
-        number = {}
-        for w in sorted(set().union(*sets)):
+        number = np.ones(len(spell.words), np.int64)
+        for w, i in spell.words.items():
             found_rows = self.inputs.rows(w)
-            number[w] = len(rows) if found_rows else 1
             if found_rows:
+                number[i] = len(rows)
                 rows.append(found_rows)
-        views = [gru.windows(np.array([number[w] for w in ws], np.int64)) for ws in found]
+        views = [gru.windows(number[ids]) for ids in spelt]
+        del spell, spelt
         doc = np.repeat(np.arange(len(views)), [len(v) for v in views])
         every = np.concatenate(views)
         first = np.cumsum([0, *[len(v) for v in views]])[:-1]
@@ -210,7 +233,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES)
-    return Model([words_of(t) for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+    return Model([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
