@@ -80,7 +80,7 @@ def context_window(spark, sf_dir):
 
 _HEX_SIGN = " OR ".join(f"regexp_matches(substr(h, {2 * at + 1}), '^(..)*{s.encode().hex().upper()}')" for at, group in validators.VERSION_SIGNS.items() for s in group)
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])"
-_QUADS = f"""(SELECT doc_id, "offset", feature FROM (SELECT *, lpad(right(substr(hex(encode(raw)), 1, 2 * "offset"), 16), 16, '20') AS h FROM {spans_sql("documents", "doc_id", "text", "[0-9A-Za-z.+_-]+")}
+_QUADS = f"""(SELECT doc_id, "offset", feature FROM (SELECT *, lpad(right(substr(hex(encode(raw)), 1, 2 * "offset"), 16), 16, '20') AS h FROM {spans_sql("documents", "doc_id", "text", "[0-9A-Za-z.+_-]*[0-9][.][0-9]+[.][0-9]+[.][0-9]+[0-9A-Za-z.+_-]*")}
  WHERE regexp_full_match(feature, '{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}')) WHERE NOT starts_with(feature, '0.') AND NOT regexp_matches(h, '(3[0-9]|4[1-6]|6[1-6]){{3}}7D$') AND NOT ({_HEX_SIGN}))"""
 
 

@@ -1,0 +1,241 @@
+"""Decoders: what a buffer holds in compressed or encoded form becomes buffers of their own."""
+
+from __future__ import annotations
+
+import base64 as _b64
+import re
+import zlib
+from collections.abc import Iterator
+
+from . import Carved, Child, Found, Page, scanner
+
+#: The most that one stream gives, and zip files inside zip files.
+MOST = 256 << 20
+MOST_ZIPS = 4
+
+
+def inflated(data: bytes, wbits: int, most: int = MOST) -> bytes:
+    """What can be inflated, also from a damaged or cut stream."""
+    d = zlib.decompressobj(wbits)
+    out, size, at, step = [], 0, 0, 1 << 16
+    try:
+        while at < len(data) and size < most and not d.eof:
+            part = d.decompress(d.unconsumed_tail + data[at : at + step], most - size)
+            at += step
+            out.append(part)
+            size += len(part)
+        while d.unconsumed_tail and size < most and not d.eof:
+            part = d.decompress(d.unconsumed_tail, most - size)
+            if not part:
+                break
+            out.append(part)
+            size += len(part)
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+@scanner("gzip")
+def gzip(page: Page) -> Iterator[Child]:
+    at = page.buf.find(b"\x1f\x8b\x08")
+    while 0 <= at < page.size:
+        data = inflated(page.buf[at:], 47)
+        if data:
+            yield Child("GZIP", at, data)
+        at = page.buf.find(b"\x1f\x8b\x08", at + 1)
+
+
+@scanner("zip")
+def zips(page: Page) -> Iterator:
+    """Components by their local headers."""
+    buf, at = page.buf, page.buf.find(b"PK\x03\x04")
+    while 0 <= at < page.size:
+        head = buf[at : at + 30]
+        if len(head) == 30 and int.from_bytes(head[4:6], "little") == 20:
+            method = int.from_bytes(head[8:10], "little")
+            packed, size = (int.from_bytes(head[i : i + 4], "little") for i in (18, 22))
+            names, extra = (int.from_bytes(head[i : i + 2], "little") for i in (26, 28))
+            name = buf[at + 30 : at + 30 + names].decode("utf-8", "replace")
+            start = at + 30 + names + extra
+            if 0 < names < 1024 and start < len(buf):
+                body = buf[start : start + packed] if packed else buf[start:]
+                data = body if method == 0 and packed else inflated(body, -15) if method == 8 else b""
+                state = "decompressed" if data else "decompress-failed" if method == 8 else f"method-{method}"
+                stamp = int.from_bytes(head[14:18], "little")
+                yield Found("zip", at, name, context=f"<zipinfo><name>{name}</name><compr_size>{packed}</compr_size><uncompr_size>{size}</uncompr_size><crc32>{stamp:08x}</crc32><disposition>{state}</disposition></zipinfo>")
+                if len(data) >= 6:
+                    if page.options.get("unzip_carve", False):
+                        yield Carved("zip_carved", at, re.sub(r"[/\\]", "_", name)[-64:], data)
+                    if page.path.count("-ZIP") < MOST_ZIPS:
+                        yield Child("ZIP", at, data)
+        at = buf.find(b"PK\x03\x04", at + 4)
+
+
+def pdf_text(stream: bytes) -> bytes:
+    """Strings in brackets; a bracket array is one word unless a wide gap parts it."""
+    out = bytearray()
+    for m in re.finditer(rb"\[((?:\\.|\((?:\\.|[^()\\])*\)|[^\]\\(])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")", stream):
+        if m.group(2) is not None:
+            out += m.group(2) + b" "
+            continue
+        for part in re.finditer(rb"\(((?:\\.|[^()\\])*)\)|(-?[0-9.]+)", m.group(1)):
+            if part.group(1) is not None:
+                out += part.group(1)
+            elif part.group(2) not in (b"-", b".") and float(part.group(2)) < -100:
+                out += b" "
+        out += b" "
+    return re.sub(rb"\\([()\\])", rb"\1", bytes(out)).strip()
+
+
+@scanner("pdf")
+def pdf(page: Page) -> Iterator[Child]:
+    for m in re.finditer(rb"stream\r?\n", page.buf):
+        if m.start() >= page.size:
+            break
+        end = page.buf.find(b"endstream", m.end())
+        if end < 0 or page.buf[m.start() - 3 : m.start()] == b"end":
+            continue
+        raw = page.buf[m.end() : end]
+        data = inflated(raw, 15, max(4096, 8 * len(raw)))
+        shown = sum(32 <= c < 127 or c in (9, 10, 13) for c in data)
+        if data and shown >= 0.9 * len(data):
+            text = pdf_text(data)
+            if text:
+                yield Child("PDF", m.end(), text)
+
+
+_B64_LINES = re.compile(rb"(?:[A-Za-z0-9+/]{60,}\r?\n){1,}[A-Za-z0-9+/]{4,}={0,2}")
+
+
+def lenient_base64(data: bytes) -> bytes:
+    """As much as can be decoded; `-` and `_` count as `+` and `/`."""
+    clean = re.sub(rb"[^A-Za-z0-9+/]", b"", data.translate(bytes.maketrans(b"-_", b"+/")).split(b"=", 1)[0])
+    clean = clean[: len(clean) - (len(clean) % 4 == 1)]
+    return _b64.b64decode(clean + b"=" * (-len(clean) % 4))
+
+
+@scanner("base64")
+def base64(page: Page) -> Iterator[Child]:
+    """Blocks of lines of one width, 60 at least; the last may be shorter. Letters must be mixed as in encoded data."""
+    for m in _B64_LINES.finditer(page.buf):
+        if m.start() >= page.size:
+            break
+        lines = m.group().split()
+        width = len(lines[0])
+        same = 1
+        while same < len(lines) and len(lines[same]) == width:
+            same += 1
+        if same < len(lines) and len(lines[same]) < width:
+            same += 1
+        block = b"".join(lines[:same])
+        head = block[:160]
+        kinds = (re.search(rb"[A-Z]", head), re.search(rb"[a-z]", head), re.search(rb"[0-9+/]", head))
+        if same >= 2 and all(kinds) and not re.fullmatch(rb"[0-9A-Fa-f]+", head):
+            data = lenient_base64(block)
+            if data:
+                yield Child("BASE64", m.start(), data)
+
+
+@scanner("base16", default=False)
+def base16(page: Page) -> Iterator:
+    for m in re.finditer(rb"(?:[0-9A-Fa-f]{2}[ \t\r\n]*+){6,}", page.buf):
+        digits = re.sub(rb"\s", b"", m.group())
+        data = bytes.fromhex(digits[: len(digits) // 2 * 2].decode())
+        if len(data) in (6, 16, 32):
+            yield Found("hex", m.start(), m.group().strip())
+        if len(data) > 64:
+            yield Child("BASE16", m.start(), data)
+
+
+@scanner("xor", default=False, again=False)
+def xor(page: Page) -> Iterator[Child]:
+    mask = page.options.get("xor_mask", 255)
+    if mask and "-ZIP" not in page.path and "-XOR" not in page.path:
+        yield Child(f"XOR({mask})", 0, page.buf.translate(bytes(i ^ mask for i in range(256))))
+
+
+@scanner("outlook", default=False, depth0_only=True, again=False)
+def outlook(page: Page) -> Iterator[Child]:
+    """Mail stores under a substitution cipher; the 256-byte table is an option (outlook_table)."""
+    table = page.options.get("outlook_table")
+    if table is not None:
+        if len(table) != 256 or len(set(table)) != 256:
+            raise ValueError("outlook_table is a permutation of 256 bytes")
+        yield Child("OUTLOOK", 0, page.buf.translate(bytes(table)))
+
+
+def xpress(data: bytes, size: int) -> bytes:
+    """Plain LZ77 of the published Xpress format: 32 flags, then literals and matches; damage ends the output."""
+    out, at, nibble_at = bytearray(), 0, -1
+    flags = left = 0
+    while len(out) < size:
+        if not left:
+            if at + 4 > len(data):
+                break
+            flags, left = int.from_bytes(data[at : at + 4], "little"), 32
+            at += 4
+        left -= 1
+        if not flags >> left & 1:
+            if at >= len(data):
+                break
+            out.append(data[at])
+            at += 1
+            continue
+        if at + 2 > len(data):
+            break
+        word = int.from_bytes(data[at : at + 2], "little")
+        at += 2
+        distance, length = (word >> 3) + 1, word & 7
+        if length == 7:
+            if nibble_at < 0:
+                if at >= len(data):
+                    break
+                nibble_at, length = at, data[at] & 15
+                at += 1
+            else:
+                length, nibble_at = data[nibble_at] >> 4, -1
+            if length == 15:
+                if at >= len(data):
+                    break
+                length = data[at]
+                at += 1
+                if length == 255:
+                    if at + 2 > len(data):
+                        break
+                    length = int.from_bytes(data[at : at + 2], "little") - 22
+                    at += 2
+                length += 15
+            length += 7
+        length += 3
+        if distance > len(out) or length < 3:
+            break
+        for _ in range(min(length, size - len(out))):
+            out.append(out[-distance])
+    return bytes(out)
+
+
+_XPRESS = b"\x81\x81xpress"
+
+
+@scanner("hiberfile", default=False, depth0_only=True)
+def hiberfile(page: Page) -> Iterator[Child]:
+    """Compressed blocks of memory images: a header tells how many pages of 4096 bytes a block gives."""
+    at = page.buf.find(_XPRESS)
+    while 0 <= at < page.size:
+        head = page.buf[at : at + 32]
+        if len(head) < 32:
+            break
+        pages = head[8] + 1
+        packed = (int.from_bytes(head[9:13], "little") >> 2) + 1
+        data = xpress(page.buf[at + 32 : at + 32 + packed], pages * 4096)
+        if data:
+            yield Child("HIBERFILE", at, data, memory=True)
+        at = page.buf.find(_XPRESS, at + 8)
+
+
+@scanner("msxml")
+def office_xml(page: Page) -> Iterator[Child]:
+    if page.buf.startswith(b"<?xml "):
+        text = re.sub(rb"<[^>]*>", b"", page.buf.replace(b"</w:p>", b"\n"))
+        if text.strip():
+            yield Child("MSXML", 0, text)
