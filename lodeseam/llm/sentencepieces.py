@@ -60,6 +60,7 @@ class Pieces:
                 self.byte[int(p.piece[3:5], 16)] = i
                 self.byte_ids.add(i)
             self.surface.append(bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else proto.trainer_spec.unk_surface.encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode())
+        self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == 2}
         self.control = {i for i, p in enumerate(proto.pieces) if p.type == 3}
         symbols = list(normal) + sorted({c for p in normal for c in p} - set(normal))
         number = {s: i for i, s in enumerate(symbols)}
@@ -245,7 +246,7 @@ class Tokenizer:
         surface = p.surface
         raw = b"".join([surface[i] for i in listed])
         first = next((i for i in listed if i not in p.control), None)
-        if p.prefix and first is not None and first not in p.byte_ids and raw.startswith(b" "):
+        if p.prefix and first is not None and first not in p.byte_ids and first not in p.unknown and raw.startswith(b" "):
             raw = raw[1:]
         try:
             return raw.decode()
@@ -280,7 +281,7 @@ class Tokenizer:
             flush()
             s = p.surface[i].decode()
             if i not in p.control and not stripped:
-                s, stripped = s.removeprefix(" "), True
+                s, stripped = s if i in p.unknown else s.removeprefix(" "), True
             out.append(s)
         flush()
         return "".join(out)
