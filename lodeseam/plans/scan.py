@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from .. import scanners as S
+from ..functions import text
 from ..functions.paths import Pos
+from ..operators import duplicates as repeats
 from ..operators import histograms, lists
 from ..operators.pages import MAX_DEPTH, MAX_NGRAM
+from ..scanners import Carved, Child, Found, Page
 
 ROWS = (
     "kind string, recorder string, source string, path string, offset bigint, pos0 string, feature string, context string, "
@@ -53,8 +56,6 @@ def ngram(buf: bytes, most: int) -> int:
 
 def scanned(buf: bytes, size: int, place: Pos, options: Options, scanners: list, memory: bool = False) -> Iterator[tuple]:
     """Rows of a buffer and of all that its decoders find, without the source."""
-    from ..scanners import Carved, Child, Found, Page
-
     depth = place.depth
     digest = hashlib.sha1(buf).hexdigest()
 
@@ -98,10 +99,12 @@ def scanned(buf: bytes, size: int, place: Pos, options: Options, scanners: list,
 
 def scan(pages: DataFrame, options: Options | None = None, source: str = "source") -> DataFrame:
     """ROWS of all pages (columns: source, path, offset, pagesize, buf)."""
-    from .. import scanners as S
-
     options = options or Options()
     chosen = S.enabled(options.enable, options.disable, options.only)
+    # A small input in fewer parts than there are cores is dealt out, as scanning costs more than moving it.
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +140,8 @@ def first_places(rows: DataFrame) -> DataFrame:
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """(first_pos0, dup_pos0, sha1) of buffers met more than once."""
-    from ..operators.duplicates import report
-
     own = rows.where("kind = 'page'").select(F.concat_ws("|", "source", "pos0").alias("place"), "buf_sha1")
-    return report(own, "buf_sha1", "place").select(F.col("first_place").alias("first_pos0"), F.col("dup_place").alias("dup_pos0"), F.col("buf_sha1").alias("sha1"))
+    return repeats.report(own, "buf_sha1", "place").select(F.col("first_place").alias("first_pos0"), F.col("dup_place").alias("dup_pos0"), F.col("buf_sha1").alias("sha1"))
 
 
 @dataclass
@@ -181,8 +182,6 @@ def report(pages: DataFrame, options: Options | None = None, stop: DataFrame | N
 
 def path_query(buf: bytes, path: str, settings: dict | None = None) -> bytes:
     """The bytes at a forensic path: numbers move on, names decode what begins there."""
-    from .. import scanners as S
-
     tokens, data, at = path.split("-"), buf, 0
     for token in tokens:
         if token.isdigit():
@@ -201,4 +200,4 @@ def path_query(buf: bytes, path: str, settings: dict | None = None) -> bytes:
     return data
 
 
-__all__ = ["Options", "Report", "duplicates", "first_places", "path_query", "paths", "report", "scan", "scanned"]
+__all__ = ["Options", "Report", "duplicates", "first_places", "path_query", "report", "scan", "scanned"]

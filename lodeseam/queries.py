@@ -537,3 +537,52 @@ def event_sessions(spark, sf_dir):
 def event_tumbling(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+# Scans: no SQL tells these; tests hold them against plain Python.
+
+
+@query()
+def scan_documents(spark, sf_dir):
+    """All default scanners and decoders over the documents."""
+    from .plans.scan import scan
+    from .sources.images import from_column
+
+    rows = scan(from_column(table(spark, sf_dir, "documents"), "text", "doc_id"))
+    return rows.where("kind = 'feature'").select("recorder", "source", "pos0", "feature", "context")
+
+
+@query()
+def decode_recursive(spark, sf_dir):
+    """Pages' HTML, compressed and then written as base64 lines, found again through both decoders."""
+    from .plans.scan import Options, scan
+    from .sources.images import from_column
+
+    def packed(batches):
+        import base64
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                body = gzip.compress(f"{url} {html}".encode(), mtime=0)
+                code = base64.b64encode(body)
+                out.append(b"head\n" + b"\n".join(code[i : i + 76] for i in range(0, len(code), 76)) + b"\n")
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], names=["page_id", "raw"])
+
+    made = table(spark, sf_dir, "pages", "page_id", "url", "html").mapInArrow(packed, "page_id long, raw binary")
+    rows = scan(from_column(made, "raw", "page_id"), Options(only=("base64", "gzip", "email")))
+    return rows.where("kind = 'feature' AND recorder = 'url'").select("source", "pos0", "feature")
+
+
+@query()
+def scan_report_counts(spark, sf_dir):
+    """Rows by recorder after a stop list, with repeated documents scanned once."""
+    from .plans.scan import Options, report, scan
+    from .sources.images import from_column
+
+    rows = scan(from_column(table(spark, sf_dir, "documents"), "text", "doc_id"), Options(only=("email", "accts")))
+    stop = lists.literals(spark, ["mail1[.]example"])
+    return report(None, stop=stop, dedupe=True, rows=rows).features.groupBy("recorder").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 from ..functions import validators as V
+from ..operators.features import SOCIAL
 from . import Found, Page, scanner
 
 # The features' patterns.
@@ -21,6 +22,7 @@ _RFC822 = re.compile(
     rb"[0-2][0-9]:[0-5][0-9]:[0-5][0-9][ \t\r\n]+(?:[+-][0-2][0-9][0314][05]|UT|GMT|[ECMP][SD]T|[ZAMNY])"
     rb"|Message-ID:(?:[ \t\n]|\r\n)?<[\x20-\x7e]{1,80}>|(?:Subject|Cookie):[ \t]?[\x20-\x7e]{1,80}|Host:[ \t]?[a-zA-Z0-9._]{1,64}"
 )
+_DOTTED = re.compile(rb"[0-9]\.[0-9]")
 _WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){6,}")
 
 
@@ -58,17 +60,18 @@ def email(page: Page) -> Iterator[Found]:
     buf = page.buf
     for recorder, at, feature in _mail_and_url(buf):
         yield Found(recorder, at, feature)
-    for m in _QUAD.finditer(buf):
+    for m in _QUAD.finditer(buf) if _DOTTED.search(buf) else ():
         if not V.ignored_quad(buf[max(0, m.start() - 8) : m.start()].decode("latin-1"), m.group().decode()):
             yield Found("domain", m.start(), m.group())
-    for m in _ETHER.finditer(buf):
+    colon = b":" in buf
+    for m in _ETHER.finditer(buf) if colon else ():
         parts = m.group().split(b":")
         if len(set(parts)) >= 4 and m.group() not in (b"00:00:00:00:00:00", b"00:11:22:33:44:55"):
             yield Found("ether", m.start(), m.group())
-    for m in _RFC822.finditer(buf):
+    for m in _RFC822.finditer(buf) if colon else ():
         yield Found("rfc822", m.start(), m.group())
     # Every second byte of a run of UTF-16 text, read as the rest.
-    for run in _WIDE.finditer(buf):
+    for run in _WIDE.finditer(buf) if b"\0" in buf else ():
         for recorder, at, feature in _mail_and_url(run.group()[::2]):
             yield Found(recorder, run.start() + 2 * at, feature, 2 * len(feature), utf16=True)
 
@@ -92,6 +95,7 @@ _DASHED_SSN = re.compile(rb"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END)
 _BARE_SSN = re.compile(rb"(?<![0-9])[0-9]{9}" + _END)
 _SIN = re.compile(rb"(?i)sin:?[ \t]*[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}" + _END + rb"|(?<![0-9])[0-9]{3}-[0-9]{3}-[0-9]{3}" + _END)
 _BITCOIN = re.compile(rb"(?<![0-9A-Za-z])[13][1-9A-HJ-NP-Za-km-z]{27,34}(?![1-9A-HJ-NP-Za-km-z])")
+_NUMBER = re.compile(rb"[0-9][0-9\0 ./+-]{2}|[13][1-9A-HJ-NP-Za-km-z]{27}")
 _BOX = re.compile(rb"(?i)box ?\[[0-9 -]{0,40}\]|\[ ?(?:[0-9.-]{1,12} ){3}[0-9.-]{1,12} ?\]")
 
 
@@ -99,6 +103,8 @@ _BOX = re.compile(rb"(?i)box ?\[[0-9 -]{0,40}\]|\[ ?(?:[0-9.-]{1,12} ){3}[0-9.-]
 def accounts(page: Page) -> Iterator[Found]:
     """Card numbers, track 2, phones, identity numbers, parcels, birthdays, coins and recovery keys."""
     # Number tables of page descriptions are no accounts.
+    if not _NUMBER.search(page.buf):
+        return
     buf = _BOX.sub(lambda m: b"[" * len(m.group()), page.buf)
     for m in _CARD.finditer(buf):
         found, at = m.group().decode(), m.start()
@@ -222,8 +228,6 @@ def json(page: Page) -> Iterator[Found]:
 @scanner("facebook")
 def social(page: Page) -> Iterator[Found]:
     """Marks of one social network, once in every 4096 bytes, with what stands around them."""
-    from ..operators.features import SOCIAL
-
     marks, free = re.compile(b"|".join(re.escape(s.encode()) for s in SOCIAL)), 0
     for m in marks.finditer(page.buf):
         if m.start() >= free:
