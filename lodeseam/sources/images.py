@@ -112,6 +112,7 @@ class _Reader(DataSourceReader):
 def read_image(spark: SparkSession, path: str, page: int = PAGE, margin: int = MARGIN, start: int = 0, end: int | None = None) -> DataFrame:
     """Pages of raw and split images that all executors see under `path`."""
     spark.dataSource.register(PagedImage)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("lodeseam_image").option("path", path).option("pagesize", page).option("margin", margin).option("start", start)
     return (reader.option("end", end) if end is not None else reader).load()
 

@@ -42,10 +42,10 @@ def with_files(features: DataFrame, runs: DataFrame, width: int = 1 << 30) -> Da
     """Features with the file that their place in the image belongs to: allocated files first, then others."""
     from ..operators.joins import as_of
 
-    at = features.withColumn("__at", paths.image_offset(F.col("path"), F.col("offset"))).withColumn("__k", F.lit(1))
+    at = features.withColumn("__at", paths.image_offset(F.col("path"), F.col("offset"))).withColumn("__one", F.lit(1))
     out = at
     for flag, prefix in ((True, "a"), (False, "u")):
-        own = runs.where(F.col("allocated") == flag).select(F.lit(1).alias("__k"), F.col("start").alias(f"{prefix}_start"), F.col("end").alias(f"{prefix}_end"), F.col("filename").alias(f"{prefix}_name"), F.col("md5").alias(f"{prefix}_md5"))
-        out = as_of(out, own, ["__k"], "__at", f"{prefix}_start", f"{prefix}_end", width=width)
+        own = runs.where(F.col("allocated") == flag).select(F.lit(1).alias("__one"), F.col("start").alias(f"{prefix}_start"), F.col("end").alias(f"{prefix}_end"), F.col("filename").alias(f"{prefix}_name"), F.col("md5").alias(f"{prefix}_md5"))
+        out = as_of(out, own, ["__one"], "__at", f"{prefix}_start", f"{prefix}_end", width=width)
     found = out.withColumn("filename", F.coalesce("a_name", "u_name")).withColumn("md5", F.coalesce("a_md5", "u_md5"))
     return found.select(*features.columns, "filename", "md5")
