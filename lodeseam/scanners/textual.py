@@ -260,3 +260,23 @@ def words(page: Page) -> Iterator[Found]:
 @scanner("sha1_test", default=False)
 def sha1(page: Page) -> Iterator[Found]:
     yield Found("sha1_bufs", 0, hashlib.sha1(page.buf).hexdigest())
+
+
+_HTTP_HEAD = re.compile(rb"(?:(?:GET|POST|HEAD|PUT|DELETE|OPTIONS) [\x21-\x7e]{1,2048} HTTP/1\.[01]|HTTP/1\.[01] [0-9]{3}[\x20-\x7e]{0,64})\r\n(?:[A-Za-z0-9-]{1,64}: [\x20-\x7e]{0,2048}\r\n){1,64}")
+_MAIL_HEAD = re.compile(rb"(?:(?:Received|From|To|Cc|Date|Subject|Message-ID|MIME-Version|Content-Type|Return-Path|X-Mailer|User-Agent): [\x20-\x7e\t]{0,998}\r?\n(?:[ \t][\x20-\x7e\t]{1,998}\r?\n)*){3,64}", re.IGNORECASE)
+
+
+@scanner("httpheader", default=False)
+def http_headers(page: Page) -> Iterator[Found]:
+    """Whole heads of requests and answers."""
+    if b"HTTP/1." in page.buf:
+        for m in _HTTP_HEAD.finditer(page.buf):
+            yield Found("httpheader", m.start(), m.group())
+
+
+@scanner("headers", default=False)
+def mail_headers(page: Page) -> Iterator[Found]:
+    """Three or more mail header lines in a row."""
+    if b": " in page.buf:
+        for m in _MAIL_HEAD.finditer(page.buf):
+            yield Found("headers", m.start(), m.group())

@@ -249,3 +249,14 @@ def test_elf_and_link():
     assert "<machine>X86_64</machine>" in [r for r in run(bytes(elf)) if r[1] == "elf"][0][6]
     link = bytearray(S.binary._LNK + bytes(100))
     assert of(run(bytes(link) + b"some text"), "winlnk") == [("0", "NO_LINKINFO")]
+
+
+def test_optional_scanners():
+    packed = b"<~" + base64.a85encode(b"person@example.com in ascii85 text") + b"~>"
+    assert of(run(b"xy" + packed, enable=("ascii85",)), "email") == [("2-ASCII85-0", "person@example.com")]
+    head = b"GET /x HTTP/1.1\r\nHost: a.example.com\r\nAccept: */*\r\n"
+    assert [f for _, f in of(run(head + b"\r\nrest", enable=("httpheader",)), "httpheader")] == [head.decode().replace("\r\n", "\\015\\012")]
+    mail = b"From: a@b.cc\nTo: c@d.ee\nSubject: hello\n\nbody"
+    assert len(of(run(mail, enable=("headers",)), "headers")) == 1
+    assert of(run(b"say abcdefgh and (bracketed) x", enable=("wordlist",)), "wordlist") == [("4", "abcdefgh"), ("18", "bracketed")]
+    assert of(run(b"find me FIND ME and no more", enable=("find",), settings={"find_patterns": ["find me"]}), "find") == [("0", "find me"), ("8", "FIND ME")]
