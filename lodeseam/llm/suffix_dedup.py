@@ -4,7 +4,8 @@ Earlier means a smaller doc_id, or the same document and an earlier start; strin
 overlap, and are judged on the input.
 
 1. Each document falls into runs of windows by a content-defined key (window_keys): equal windows have equal keys. A task
-   first joins equal runs of its own documents, so that a hot passage leaves a task once.
+   first joins equal runs of its own documents, so that a hot passage leaves a task once. Keys that a sample shows to
+   have many different runs (a frequent line in ever new surroundings) are split by further keys at once.
 2. Runs are dealt by key. Equal runs but the first are repeats in whole. Keys with one distinct run are done.
 3. Where runs of one key differ, or a run may repeat itself, the bytes of one copy of each are fetched and dealt by key;
    runs of a key with over HOT of them are split by further keys first, so that no passage's surroundings meet in one
@@ -39,6 +40,10 @@ GRAM = 48
 JOINED = 24 << 20
 HASHED = 2 << 20
 HOT = 256
+#: A sample of about so many bytes finds the keys that have at least FREQUENT different runs in it; at most
+#: SAMPLED / FREQUENT of them are sent to the tasks.
+SAMPLED = 32 << 20
+FREQUENT = 64
 FURTHER = tuple(range(8))
 SHARD = 128 << 10
 TASK = 512 << 10
@@ -62,10 +67,17 @@ def _pieces(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), ends - np.fromiter(map(len, found), np.int64, len(found)), ends
 
 
-def _runs(doc: np.ndarray, tie: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
-    """The runs to compare, and the spans that repeat inside their own document."""
+def _runs(doc: np.ndarray, tie: np.ndarray, found: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The runs to compare, those of frequent keys split by further keys, and the spans that repeat inside their document."""
     raw, starts, ends = _pieces(found)
     piece, first, n, key, odd, known = keyed_runs(raw, starts, ends, SIZE, GRAM)
+    often = np.isin(key, frequent) & ~known if len(frequent) else known & False
+    if often.any():
+        held = raw.tobytes()
+        joined, begins, stops = _pieces([held[a:b] for a, b in zip(first[often].tolist(), (first + n + SIZE - 1)[often].tolist(), strict=True)])
+        part, at, length, finer, again, sure_ = keyed_runs(joined, begins, stops, SIZE, GRAM, seeds=FURTHER)
+        more = (piece[often][part], first[often][part] + at - begins[part], length, finer, again, sure_)
+        piece, first, n, key, odd, known = (np.concatenate([x[~often], y]) for x, y in zip((piece, first, n, key, odd, known), more, strict=True))
     sure = None
     if known.any():
         k = piece[known]
@@ -90,8 +102,29 @@ def _sorted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs, new, (runs["doc"] != lead["doc"]) | (runs["tie"] != lead["tie"]) | (runs["at"] != lead["at"])
 
 
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Keys with many different runs in a sample of whole documents, chosen by hash, of about SAMPLED bytes.
+
+    They only say which runs are dealt by further keys; the result is the same whatever is in the sample.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = int(1_000_000 * min(1.0, SAMPLED / max(1, total)))
+    some = docs.where(F.pmod(F.xxhash64("doc", "tie", F.lit(17)), F.lit(1_000_000)) < share)
+    none = np.zeros(0, np.uint64)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", HASHED):
+            runs, _ = _runs(batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), texts(batch, "text"), none)
+            pairs = np.unique(np.stack([runs["key"], runs["same"]], axis=1).view(np.int64), axis=0) if len(runs) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["key", "same"])
+
+    kinds = some.mapInArrow(run, "key long, same long").groupBy("key").agg(F.approx_count_distinct("same").alias("kinds"))
+    return np.sort(np.array([r.key for r in kinds.where(F.col("kinds") >= FREQUENT).collect()], np.int64).view(np.uint64))
+
+
 def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """Runs in packed rows (bucket, runs, repeats): runs to compare under their key's bucket, repeats already known."""
+    frequent = _frequent(docs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -116,7 +149,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in chunks(batches, "text", HASHED):
             found = texts(batch, "text")
-            runs, spans = _runs(batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), found)
+            runs, spans = _runs(batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), found, frequent)
             held.append(runs)
             if spans is not None:
                 sure.append(spans)

@@ -202,7 +202,9 @@ def test_interleave_equals_brute_force():
     assert interleave.Shard([b"abc"]).order.tolist() == [3, 0, 1, 2]
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("frequent", [64, 1])
+def test_suffix_dedup(spark, monkeypatch, frequent):
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     # Rows equal in id and text are one document here; ids shared by different texts order by a hash, so they are left out.
     docs = [d for i, d in enumerate(documents(count=80)) if d[0] != 2 and d not in documents(count=80)[:i]]
     docs += [(3000, "=" * 900 + "tail", None, None, 0), (3001, "-" * 50 + "=" * 300, None, None, 0), (2999, "Der " * 200, None, None, 0)]
