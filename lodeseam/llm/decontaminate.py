@@ -181,10 +181,11 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, action: str = "spans", bound: int = BOUND) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, action: str = "spans", bound: int = BOUND, drop_empty: bool = False) -> DataFrame:
     """docs without the benchmark's words (action "spans") or without the documents that hold any ("documents").
 
-    Contaminated documents whose words are all hit are left with the characters between and around the runs.
+    Contaminated documents whose words are all hit are left with the characters between and around the runs, or go too
+    with drop_empty. Documents without a hit always stay as they are.
     """
     if action not in ("spans", "documents"):
         raise ValueError(action)
@@ -200,7 +201,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, action: str
             if any(s["spans"] for s in spans):
                 old = batch.column(at)
                 new = [without_spans(t, s["spans"]) if s["spans"] else t for t, s in zip(old.to_pylist(), spans, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == at else batch.column(i) for i in range(len(names))], names=names)
+                out = pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == at else batch.column(i) for i in range(len(names))], names=names)
+                yield out.filter(pa.array([not s["spans"] or bool(words_of(t.encode())) for t, s in zip(new, spans, strict=True)])) if drop_empty else out
             else:
                 yield batch.select(names)
 

@@ -61,6 +61,8 @@ def test_decontamination_removes_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     assert same([tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()], [(1, "Keep this.  - and this."), (2, None), (3, "clean")])
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, action="documents").collect()) == [2, 3]
+    more = docs.unionByName(spark.createDataFrame([(4, " One two three, four! Five six; seven eight nine ten!"), (5, "!?")], docs.schema))
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(more, bench, drop_empty=True).collect()) == [1, 2, 3, 5]
     assert decontaminate.digest(docs.where("doc_id > 9"), bench.where("item_id > 9")).count() == 0
 
 
