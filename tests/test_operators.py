@@ -201,3 +201,17 @@ def test_streams(spark, tmp_path):
 def test_social_marks(spark):
     df = spark.createDataFrame([("x facebook.com y fbid=3 " + "." * 5000 + "facebook.com",)], "t string")
     assert [r.offset for r in features.extract(df, "t", ["facebook"], []).collect()] == [2, 5024]
+
+
+def test_run_report_and_restart(spark, tmp_path):
+    from lodeseam.plans.run_report import remaining, run_report, write_work_units
+
+    body = spark.createDataFrame([("a", bytearray(b"first@example.com text " * 20)), ("b", bytearray(b"second@example.com text " * 20))], "name string, raw binary")
+    read = images.from_column(body, "raw", "name", 128, 32)
+    half = read.where("offset < 256")
+    rows = scan(half, Options(only=("email",)))
+    write_work_units(rows, str(tmp_path))
+    rest = remaining(spark, read, str(tmp_path))
+    assert rest.count() == read.count() - half.count() and rest.where("offset < 256").count() == 0
+    xml = run_report(rows, Options(only=("email",)), "a & b")
+    assert "<source>a &amp; b</source>" in xml and "<name>email</name>" in xml and "<buffers>4</buffers>" in xml
