@@ -135,8 +135,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
-def judged(docs: DataFrame, classifier: Classifier, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs with doc_score, host_score, path_score, posterior and kept (columns of the same names are replaced)."""
+def judged(docs: DataFrame, classifier: Classifier, host: str = "source", path: str = "lang", prefix: str = "") -> DataFrame:
+    """docs with doc_score, host_score, path_score, posterior and kept, after the prefix (columns so named are replaced)."""
     small = written(with_probability(docs.select(host, path, "text"), classifier).select(host, path, "__p"), "scores")
     found, mean = sites(small, host, path)
     found = found.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_score").alias("__hs"), F.col("path_score").alias("__ps"))
@@ -147,6 +147,7 @@ def judged(docs: DataFrame, classifier: Classifier, host: str = "source", path:
     odds = _logit(F.col("__p")) + _logit(F.col("__ps")) - _logit(F.lit(float(mean)))
     posterior = F.when(F.col("__p") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
     made = {"doc_score": F.col("__p"), "host_score": F.col("__hs"), "path_score": F.col("__ps"), "posterior": posterior, "kept": (posterior >= KEEP_AT) if classifier.trees else F.lit(True)}
+    made = {prefix + k: v for k, v in made.items()}
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
@@ -156,5 +157,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected documents."""
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "source", "lang", "text")
-    return judged(numbered, fitted(docs, labels)).where("kept").select("__row.*")
+    found = judged(docs, fitted(docs, labels), prefix="__")
+    return found.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
