@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Drives of a set that are paired with as many others in one row.
+DRIVES_BLOCK = 256
+
 
 # Differences of two reports.
 
@@ -69,31 +72,52 @@ def combined_context_list(*features: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def drive_pairs(counts: DataFrame, most_drives: int) -> DataFrame:
+def _drive_sets(counts: DataFrame, most_drives: int | None) -> DataFrame:
+    """(feature, drives, on): the sorted drives of each feature on two or more drives, at most most_drives if given."""
+    sets = counts.where("feature IS NOT NULL").groupBy("feature").agg(F.count("*").alias("drives"), F.sort_array(F.collect_list("drive")).alias("on"))
+    return sets.where(F.col("drives") >= 2 if most_drives is None else F.col("drives").between(2, most_drives))
+
+
+def _expanded(sets: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns kept with each pair a < b of the row's drives; long sets are dealt in pairs of blocks."""
+    blocks = F.expr(f"transform(sequence(0, greatest(size(on) - 1, 0) div {DRIVES_BLOCK}), i -> slice(on, i * {DRIVES_BLOCK} + 1, {DRIVES_BLOCK}))")
+    dealt = sets.select(*keep, blocks.alias("blocks")).select(*keep, F.explode(F.expr("flatten(transform(blocks, (x, i) -> transform(slice(blocks, i + 1, size(blocks)), y -> struct(x AS x, y AS y))))")).alias("p"))
+    spread = dealt.select(*keep, "p.x", "p.y").repartition("x", "y")
+    return spread.select(*keep, "y", F.explode("x").alias("a")).select(*keep, "a", F.explode("y").alias("b")).where("a < b")
+
+
+def drive_pairs(counts: DataFrame, most_drives: int | None = None) -> DataFrame:
     """(a, b, weight, shared): for drives a < b the sum of 1 / drives over the features on both.
 
-    Only features on 2 to most_drives drives are paired, so a feature gives at most most_drives**2 / 2 pairs, and what all
-    drives share, which says nothing, gives none.
+    Features on the same drives are counted first, so pairs are made once for each distinct set of drives and not for each
+    feature. With most_drives, only features on that many drives at most count.
     """
-    wanted = frequencies(counts).where(F.col("drives").between(2, most_drives)).select("feature", "drives")
-    own = counts.select("drive", "feature").join(wanted, "feature")
-    a, b = own.select("feature", "drives", F.col("drive").alias("a")), own.select("feature", F.col("drive").alias("b"))
-    pairs = a.join(b, "feature").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum(1 / F.col("drives")).alias("weight"), F.count("*").alias("shared"))
-
-
-def factors(counts: DataFrame, most_drives: int, n: int = 5) -> DataFrame:
-    """The n features that weigh most in each pair of drives: (a, b, rank, feature, drives)."""
-    wanted = frequencies(counts).where(F.col("drives").between(2, most_drives)).select("feature", "drives")
-    own = counts.select("drive", "feature").join(wanted, "feature")
-    pairs = own.select("feature", "drives", F.col("drive").alias("a")).join(own.select("feature", F.col("drive").alias("b")), "feature").where("a < b")
+    sets = _drive_sets(counts, most_drives).groupBy("on", "drives").agg(F.count("*").alias("n"))
+    pairs = _expanded(sets, ["drives", "n"])
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("drives")).alias("weight"), F.sum("n").alias("shared"))
+
+
+def factors(counts: DataFrame, most_drives: int | None = None, n: int = 5) -> DataFrame:
+    """The n features that weigh most in each pair of drives: (a, b, rank, feature, drives).
+
+    Of the features on the same drives only the first n can be among a pair's n, so no more of a set are paired.
+    """
+    first = F.row_number().over(Window.partitionBy("on", "drives").orderBy("feature"))
+    sets = _drive_sets(counts, most_drives).withColumn("__first", first).where(F.col("__first") <= n)
+    pairs = _expanded(sets, ["feature", "drives"])
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("drives", "feature"))).where(F.col("rank") <= n).select("a", "b", "rank", "feature", "drives")
 
 
-def drive_matches(counts: DataFrame, drive: str, most_drives: int) -> DataFrame:
-    """(other, weight): how one drive's features tie it to the others."""
-    wanted = frequencies(counts).where(F.col("drives") <= most_drives)
-    mine = counts.where(F.col("drive") == drive).select("feature").join(wanted, "feature")
+def drive_matches(counts: DataFrame, drive: str, most_drives: int = 10, first_over: bool = True) -> DataFrame:
+    """(other, weight): how one drive's features tie it to the others.
+
+    The drive's features count in the order of their drives and names, up to and with the first that is on more than
+    most_drives drives; without first_over that one is left out too.
+    """
+    own = counts.where(F.col("drive") == drive).select("feature").join(frequencies(counts), "feature")
+    mine = own.where(F.col("drives") <= most_drives)
+    if first_over:
+        mine = mine.unionByName(own.where(F.col("drives") > most_drives).orderBy("drives", "feature").limit(1))
     return counts.where(F.col("drive") != drive).join(mine, "feature").groupBy(F.col("drive").alias("other")).agg(F.sum(1 / F.col("drives")).alias("weight"))
 
 

@@ -215,3 +215,31 @@ def test_run_report_and_restart(spark, tmp_path):
     assert rest.count() == read.count() - half.count() and rest.where("offset < 256").count() == 0
     xml = run_report(rows, Options(only=("email",)), "a & b")
     assert "<source>a &amp; b</source>" in xml and "<name>email</name>" in xml and "<buffers>4</buffers>" in xml
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_correlation_counts_features_on_many_drives(spark, monkeypatch, block):
+    monkeypatch.setattr(analytics, "DRIVES_BLOCK", block)
+    rnd = random.Random(3)
+    on = {f"f{i:02d}": sorted(rnd.sample([f"d{k:02d}" for k in range(14)], rnd.randint(1, 14))) for i in range(60)}
+    on |= {"everywhere": [f"d{k:02d}" for k in range(14)], "far": ["x", "y"], "alone": ["z"]}
+    counts = spark.createDataFrame([(d, f, 1) for f, ds in on.items() for d in ds], "drive string, feature string, count long")
+    want = {}
+    for f, ds in on.items():
+        for i, a in enumerate(ds):
+            for b in ds[i + 1 :]:
+                want.setdefault((a, b), []).append((len(ds), f))
+    got = {(r.a, r.b): (r.weight, r.shared) for r in analytics.drive_pairs(counts).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[p][1] == len(w) and abs(got[p][0] - sum(1 / n for n, _ in w)) < 1e-9 for p, w in want.items())
+    top = {(r.a, r.b, r["rank"]): (r.drives, r.feature) for r in analytics.factors(counts).collect()}
+    assert top == {(*p, i + 1): x for p, w in want.items() for i, x in enumerate(sorted(w)[:5])}
+    mine = sorted((len(ds), f) for f, ds in on.items() if "d01" in ds)
+    mine = [x for x in mine if x[0] <= 10] + [x for x in mine if x[0] > 10][:1]
+    tied = {}
+    for n, f in mine:
+        for d in on[f]:
+            if d != "d01":
+                tied[d] = tied.get(d, 0) + 1 / n
+    found = {r.other: r.weight for r in analytics.drive_matches(counts, "d01").collect()}
+    assert found.keys() == tied.keys() and all(abs(found[d] - w) < 1e-9 for d, w in tied.items())
