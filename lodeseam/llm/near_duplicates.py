@@ -13,8 +13,8 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
    components are compared by their sketches inside a task, plausible pairs are confirmed there on the whole sets, and
    only links that join components leave it. No pair of a group goes without a comparison unless it is connected already.
 
-With 36 bands of six registers, a pair at the threshold shares no band with a probability of 2e-8; the estimate must miss
-by MARGIN, five standard errors, to lose one. Shingles and sets are named by 64-bit hashes.
+With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8; under 85 the bands
+are 43 of five registers, which gives 2e-8 at 80. The estimate must miss by the margin, five standard errors, to lose one. Shingles and sets are named by 64-bit hashes.
 
 Defined results: a null or empty text is its own component with n_shingles 0; equal rows are copies, of which one row only
 is kept; rows that share a doc_id but not their text are separate documents, told apart by their sets; a null doc_id never
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import chunks, texts, written
 from .components import components
-from .setsketch import BANDS, REGISTERS, ROWS, at_least, mix, sketches
+from .setsketch import REGISTERS, ROWS, at_least, mix, sketches
 
 WORDS = 5
 PERCENT = 85
 MARGIN = 0.12
+#: Registers of a band under PERCENT, where six would lose more.
+LOW_ROWS = 5
 BLOCK = 512
 #: Ids of documents to be fetched are broadcast up to this number; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -98,6 +100,15 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
+def _rows(percent: int) -> int:
+    return ROWS if percent >= PERCENT else LOW_ROWS
+
+
+def _margin(percent: int) -> float:
+    p = percent / 100
+    return MARGIN if percent >= PERCENT else max(MARGIN, 5 * (p * (1 - p) / REGISTERS) ** 0.5)
+
+
 def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     above, same = (a > b).sum(axis=-1), (a == b).sum(axis=-1)
     return above, a.shape[-1] - above - same, same
@@ -117,7 +128,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 counts = _counts(_matrix(batch.column("sa")), _matrix(batch.column("sb")))
-                ok = at_least(percent / 100 - MARGIN, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), *counts)
+                ok = at_least(percent / 100 - _margin(percent), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), *counts)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -175,6 +186,9 @@ def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
     keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "node", "root", "n", "sketch", "text")
     dealt = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
+    width = _rows(percent)
+    bands = REGISTERS // width
+
     def links(t: pa.Table, shingles: Shingles) -> list[tuple[int, int]]:
         node, root, n, own, pos = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "pos"))
         s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
@@ -198,8 +212,8 @@ def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
                 y = y[own[y] != own[x]]
             if not len(y):
                 continue
-            y = y[at_least(percent / 100 - MARGIN, n[x], n[y], *_counts(s[x], s[y]))]
-            y = y[(s[x] == s[y]).reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == pos[x]]
+            y = y[at_least(percent / 100 - _margin(percent), n[x], n[y], *_counts(s[x], s[y]))]
+            y = y[(s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2).argmax(axis=1) == pos[x]]
             for z in y.tolist():
                 a, b = top(int(root[x])), top(int(root[z]))
                 if a != b:
@@ -242,7 +256,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     signed = written(signatures(docs, size), "signed")
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))
+    width = _rows(percent)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * width + 1, F.lit(width)), i))
     members = classes.select("node", F.posexplode(bands).alias("pos", "band"))
     groups = written(members.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "groups")
     shared = written(members.join(groups, "band"), "shared")

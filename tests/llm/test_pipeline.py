@@ -5,6 +5,7 @@ from lodeseam.llm import decontaminate, near_duplicates, pii, quality_classifier
 from lodeseam.llm.common import table
 
 from ..compare import connection, spark_rows, sql_rows
+from .samples import frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,19 @@ def test_sql(spark):
     con = connection(SF)
     for name, sql in queries.ORACLES.items():
         assert spark_rows(queries.QUERIES[name](spark, SF)) == sql_rows(con, sql), name
+
+
+def test_near_copies_from_080_up_go(spark):
+    """Of texts of n words with words changed far apart, 5 shingles each: similarity 0.80, 0.825 and 0.77."""
+    rows, gone = [], set()
+    for i in range(60):
+        n, changed = [(49, [24]), (160, [20, 70, 120]), (160, [20, 60, 100, 140])][i % 3]
+        own = [f"w{i}x{k}" for k in range(n)]
+        rows.append((2 * i, " ".join(own), "en", "s", 0))
+        for k in changed:
+            own[k] = f"other{i}x{k}"
+        rows.append((2 * i + 1, " ".join(own), "en", "s", 0))
+        if i % 3 < 2:
+            gone.add(2 * i + 1)
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows} - gone)
