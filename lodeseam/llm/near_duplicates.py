@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import chunks, texts, written
 from .components import components
@@ -78,6 +79,11 @@ class Shingles:
 SIGNED = "doc_id long, n_shingles long, node long, sketch binary"
 
 
+def _name(shingles: np.ndarray) -> int | None:
+    """The 64-bit name of a set, None if it is empty."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())))) if len(shingles) else None
+
+
 def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, node (name of its set, null if empty) and sketch."""
 
@@ -91,7 +97,7 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
             nodes: list = [None] * len(sets)
             packed: list = [None] * len(sets)
             for i, row in zip(some.tolist(), made, strict=True):
-                nodes[i], packed[i] = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(sets[i].tobytes())))), row.tobytes()
+                nodes[i], packed[i] = _name(sets[i]), row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())],
                 names=["doc_id", "n_shingles", "node", "sketch"],
@@ -163,10 +169,7 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame
     def run(batches) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in chunks(batches, "text"):
-            nodes = []
-            for t in texts(batch, "text"):
-                s = shingles(t)
-                nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None)
+            nodes = [_name(shingles(t)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
 
     named = kept.mapInArrow(run, "node long, text string")
@@ -252,7 +255,7 @@ def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """Per document: doc_id, n_shingles, node, component_id."""
+    """Per document: doc_id, n_shingles, node, root (a node that names its component) and component_id."""
     signed = written(signatures(docs, size), "signed")
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
@@ -272,9 +275,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     roots = components(links.unionByName(more))
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
-    by_node = written(named.join(labels, "root").select("node", "component_id"), "labels")
+    by_node = written(named.join(labels, "root").select("node", "root", "component_id"), "labels")
     out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -282,12 +285,39 @@ def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_nodes(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """docs with __node, the name of the text's set."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in chunks(batches, "text"):
+            yield batch.append_column("__node", pa.array([_name(shingles(t)) for t in texts(batch, "text")], pa.int64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", LongType())]))
+
+
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; of equal rows one stays."""
-    drop = linked(docs, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if twice:
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("__n", F.row_number().over(order)).where((F.col("__n") == 1) | F.col("doc_id").isNull()).drop("__n")
-    return kept
+    """docs with one document of each component, that of the smallest doc_id; of equal rows one stays.
+
+    A doc_id that stands once tells its document. Documents that share a doc_id or have none are told by doc_id and set;
+    a null doc_id comes after all others, and of several texts of one doc_id and set one stays.
+    """
+    found = linked(docs, percent)
+    ids = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
+    ids = written(ids, "shared_ids")
+    if not ids.limit(1).count():
+        drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
+        return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    found = written(found, "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    first = written(found.where("node IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.node"), "first")
+    shared = F.col("doc_id").eqNullSafe(F.col("__id"))
+    drop = found.where("node IS NOT NULL").join(first, ["doc_id", "node"], "left_anti").select(F.col("doc_id").alias("__drop")).distinct()
+    single = docs.join(ids, shared, "left_anti").join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    rest = _with_nodes(docs.join(ids, shared, "left_semi")).withColumn("__text", F.xxhash64("text"))
+    empty = rest.where("__node IS NULL").dropDuplicates(["doc_id", "__text"])
+    texts_of = rest.where("__node IS NOT NULL").groupBy("doc_id", "__node").agg(F.min("__text").alias("t")).select(F.col("doc_id").alias("i"), F.col("__node").alias("n"), "t")
+    chosen = first.join(texts_of, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("n"))).select("i", "n", "t")
+    own = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__node") == F.col("n")) & (F.col("__text") == F.col("t"))
+    whole = rest.join(chosen, own, "left_semi").dropDuplicates(["doc_id", "__node"])
+    return single.unionByName(empty.unionByName(whole).drop("__node", "__text"))

@@ -322,6 +322,19 @@ def test_near_duplicates_awkward_rows(spark):
     assert same([tuple(r) for r in got], [(None, 2, 8, False), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True), (8, 2, 8, True)])
 
 
+def test_deduplicated_tells_shared_and_null_ids_by_their_texts(spark):
+    def text(k, swapped=()):
+        return " ".join(f"x{k}y{j}" if j in swapped else f"t{k}w{j}" for j in range(60))
+
+    rows = [
+        (1, text("a")), (1, text("b")), (2, text("a", [30])), (3, text("c")), (3, text("c")), (4, text("d")), (1, text("d", [30])), (8, text("h")), (9, text("h").upper()),
+        (None, text("e")), (None, text("e")), (5, text("f")), (None, text("f", [30])), (None, text("g")), (6, None), (6, ""), (6, ""), (None, None), (7, text("b", [30])),
+    ]
+    got = near_duplicates.deduplicated(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]), percent=80)
+    want = [(1, text("a")), (1, text("b")), (1, text("d", [30])), (3, text("c")), (8, text("h")), (None, text("e")), (5, text("f")), (None, text("g")), (6, None), (6, ""), (None, None)]
+    assert same([(r.doc_id, r.text) for r in got.collect()], want)
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 1000, dtype=np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)
