@@ -157,7 +157,7 @@ def _confirmed(pairs: DataFrame, fetched: DataFrame, percent: int, size: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """One text for each wanted node."""
     rows = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rows = written(rows, "wanted")
@@ -167,7 +167,7 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame
     kept = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
+        shingles = Shingles(size)
         for batch in chunks(batches, "text"):
             nodes = [_name(shingles(t)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
@@ -264,7 +264,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     members = classes.select("node", F.posexplode(bands).alias("pos", "band"))
     groups = written(members.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "groups")
     shared = written(members.join(groups, "band"), "shared")
-    fetched = _fetched(docs, signed, shared.select("node").distinct())
+    fetched = _fetched(docs, signed, shared.select("node").distinct(), size)
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(_plausible(stars, classes, percent), fetched, percent, size), "stars")
     roots = components(links)

@@ -335,6 +335,14 @@ def test_deduplicated_tells_shared_and_null_ids_by_their_texts(spark):
     assert same([(r.doc_id, r.text) for r in got.collect()], want)
 
 
+def test_near_duplicates_of_other_shingle_sizes(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "last"])), (3, " ".join(words[::-1]))]
+    for size in (3, 7):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.linked(frame(spark, [(*r, "en", "s", 0) for r in rows]), size=size).collect()}
+        assert got == {1: (81 - size, 1), 2: (81 - size, 1), 3: (81 - size, 3)}
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 1000, dtype=np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)
