@@ -7,8 +7,8 @@ measure the median and the spread (distance between the quartiles) over all docu
 rejected if a measure lies more than WIDTH spreads, and more than FLOOR, beyond the median on its bad side. A group of
 under FEW documents takes the bands of its length in all languages; where that is as small, nothing is rejected.
 
-One small row a document is written; the bands are one row a group, made of mergeable sketches, and at most MOST_GROUPS
-of them (the largest) are broadcast. A measure counts from MIN_TOKENS tokens up; the base rules hold for every text.
+One small row a document is written; the bands are one row a group, made of mergeable sketches, of every group that is
+large enough. They are broadcast up to BROADCAST_GROUPS rows, and joined by shuffle beyond it. A measure counts from MIN_TOKENS tokens up; the base rules hold for every text.
 
 Defined results: a null or empty text has no words, hence fails the base rules; a null language is a group of its own;
 repeated rows each get a row.
@@ -35,7 +35,8 @@ WIDTH = 5.0
 FLOOR = {"chars_per_token": 0.15, "fallback_share": 0.02, "entropy": 0.1}
 MIN_TOKENS = 64
 FEW = 100
-MOST_GROUPS = 1000
+#: Groups whose bands are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 
 SYMBOLS = b"#*$%&|<>"
 _MARK = bytes(1 if c in SYMBOLS else 0 for c in range(256))
@@ -137,7 +138,8 @@ def judged(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def bands(prefix: str, *keys: str) -> DataFrame:
         groups = usable.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= FEW)
-        return F.broadcast(groups.orderBy(F.desc("n"), *keys).limit(MOST_GROUPS).select(*keys, *[F.col(m).alias(f"{prefix}{m}") for m in FLOOR]))
+        groups = written(groups.select(*keys, *[F.col(m).alias(f"{prefix}{m}") for m in FLOOR]), f"{prefix}bands")
+        return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
     joined = rows.join(bands("own_", "lang", "script", "size"), ["lang", "script", "size"], "left").join(bands("all_", "size"), ["size"], "left")
     fails = F.lit(False)

@@ -151,6 +151,18 @@ def test_quality_rules(spark):
     assert quality_rules.keep(frame(spark, docs)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_every_group_has_its_own_bands(spark, monkeypatch, bound):
+    monkeypatch.setattr(quality_rules, "FEW", 2)
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", bound)
+    usual, odd = ("none", 100, 0, 0, 0, 0, 70, 4.0, 0.0, 0.8), ("other", 100, 0, 0, 0, 0, 70, 1.0, 0.9, 0.8)
+    rows = [(3 * i + k, f"l{i:04d}", *usual) for i in range(1100) for k in range(3)]
+    rows += [(9000, "zz", *odd), (9001, "zz", *odd), (9999, "rare", *odd)]
+    monkeypatch.setattr(quality_rules, "measures", lambda docs, model=None: spark.createDataFrame(rows, quality_rules.SCHEMA))
+    failed = {r.doc_id for r in quality_rules.judged(None).where("band_failed").collect()}
+    assert failed == {9999}
+
+
 def test_repeated_words_with_a_large_vocabulary():
     words = [str(i).encode() for i in range(8000)] + [b"1", b"2", b"3", b"4", b"5"]
     assert quality_rules.repeated_words(words) == 10
