@@ -6,7 +6,7 @@ on a small labelled table that a seeded rule writes, tells which blocks are arti
 length, however broken the mark-up, and no page is cut.
 
 Defined results: a null or empty page has an empty text; a tag, comment or script that the page does not end takes the
-rest of the page; a `<` that opens no tag is text; character references are decoded as browsers do, those that do not
+rest of the page; a head that the page does not end stops before the first text or tag that cannot stand in a head; a `<` that opens no tag is text; character references are decoded as browsers do, those that do not
 end in a semicolon included; white space, the no-break space included, becomes one space; repeated rows each get a row.
 """
 
@@ -30,9 +30,11 @@ PAGES = 160
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe svg canvas object textarea title head math audio video".split())
+HIDDEN = frozenset("script style template iframe svg textarea title head audio video".split())
 #: Elements whose content is no mark-up.
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements that may stand in a head.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BOILER_TAGS = frozenset("nav header footer aside form button select fieldset menu dialog label legend".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 MAIN_NAMES = frozenset("article main content post entry story body articlebody".split())
@@ -104,8 +106,16 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, linked, stack))
         linked = 0
 
+    def leave_head() -> None:
+        nonlocal hidden
+        if stack and stack[-1][0] == "head":
+            stack.pop()
+            hidden -= 1
+
     def add(raw: str) -> None:
         nonlocal linked
+        if hidden and not raw.isspace():
+            leave_head()
         if raw and not hidden:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -141,6 +151,8 @@ def blocks(page: str | None) -> list[Block]:
             if not end:
                 break
         attrs, at = page[head.end() : end - 1], end
+        if hidden and name not in IN_HEAD and (name[0] != "/" or name in ("/body", "/html", "/br")):
+            leave_head()
         if name[0] == "/":
             name = name[1:]
             if name == "a":

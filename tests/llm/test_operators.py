@@ -417,6 +417,17 @@ def test_html_text(spark):
     assert [b.text for b in html_text.blocks("<p>a < b &lt; c")] == ["a < b < c"]
 
 
+def test_html_head_without_an_end():
+    tree = html_text.fitted_tree()
+    body = "<article><h1>Head line</h1><p>Kept words of the article</p></article>"
+    inside = "<meta charset=x><title>T</title><style>p{}</style><noscript>no <b>sight</b></noscript>"
+    for page in (f"<html><head>{inside}<body>{body}</html>", f"<head>{inside}\n{body}", f"<head>{inside}</head><body>{body}</body>", f"<head>{inside}{body}</body></html>"):
+        assert html_text.main_text(page, tree) == "Head line Kept words of the article"
+    assert [b.text for b in html_text.blocks("<head><title>T</title> bare text")] == ["bare text"]
+    found = html_text.blocks("<article><p>a <math><mi>x</mi></math> b</p><noscript><p>c</p></noscript><canvas>d</canvas><object>e</object><svg><text>f</text></svg></article>")
+    assert " ".join(b.text for b in found).split() == list("axbcde")
+
+
 def test_html_is_linear():
     import time
 
