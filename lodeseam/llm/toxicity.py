@@ -1,4 +1,4 @@
-"""Toxicity scores of whole texts by a recurrent network over all overlapping windows of words.
+"""Toxicity scores of whole texts by a recurrent network over overlapping windows of words.
 
 The network (gru) learns on the driver from a bounded sample: at most SAMPLE labelled documents of either label, in the
 order of a hash of their id, and at most SAMPLE_BYTES of whole texts; labels with crc32(doc_id as text) mod 5 = 0 are never
