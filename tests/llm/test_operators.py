@@ -213,32 +213,76 @@ def test_interleave_equals_brute_force():
             for p in range(len(x) - depth + 1):
                 places[x[p : p + depth]].append((int(doc[i]), int(at[i]) + p))
         assert sorted(zip(d.tolist(), s.tolist(), strict=True)) == sorted(y for v in places.values() for y in v if y != min(v))
-    assert interleave.Shard([b"abc"]).order.tolist() == [3, 0, 1, 2]
+    assert interleave.Shard([b"abc"], 100).order.tolist() == [3, 0, 1, 2]
 
 
-@pytest.mark.parametrize("frequent", [64, 1])
-def test_suffix_dedup(spark, monkeypatch, frequent):
-    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
-    # Rows equal in id and text are one document here; ids shared by different texts order by a hash, so they are left out.
-    docs = [d for i, d in enumerate(documents(count=80)) if d[0] != 2 and d not in documents(count=80)[:i]]
-    docs += [(3000, "=" * 900 + "tail", None, None, 0), (3001, "-" * 50 + "=" * 300, None, None, 0), (2999, "Der " * 200, None, None, 0)]
-    got = {r.doc_id: r for r in suffix_dedup.digest(frame(spark, docs)).collect()}
-    seen = set()
-    for doc in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+def brute_removed(docs, order):
+    """(n_bytes, n_removed, n_spans, kept_sha256) by document, taken in the order that `order` gives."""
+    seen, out = set(), {}
+    for doc in sorted(docs, key=order):
         raw = (doc[1] or "").encode()
         cover = np.zeros(len(raw) + 1, int)
-        own = []
         for p in range(len(raw) - 99):
             window = raw[p : p + 100]
             if window in seen:
                 cover[p] += 1
                 cover[p + 100] -= 1
             seen.add(window)
-            own.append(window)
         hit = np.cumsum(cover)[:-1] > 0
         kept = bytes(b for b, h in zip(raw, hit, strict=True) if not h)
-        spans = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
-        assert tuple(got[doc[0]]) == (doc[0], len(raw), int(hit.sum()), spans, hashlib.sha256(kept).hexdigest()), doc[0]
+        out[doc[0], doc[1]] = (len(raw), int(hit.sum()), int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("frequent", "task"), [(64, 256 << 10), (1, 1), (64, 300)])
+def test_suffix_dedup(spark, monkeypatch, frequent, task):
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "TASK", task)
+    # Rows equal in id and text are one document here; ids shared by different texts have a test of their own.
+    docs = [d for i, d in enumerate(documents(count=80)) if d[0] != 2 and d not in documents(count=80)[:i]]
+    docs += [(3000, "=" * 900 + "tail", None, None, 0), (3001, "-" * 50 + "=" * 300, None, None, 0), (2999, "Der " * 200, None, None, 0)]
+    want = brute_removed(docs, lambda d: (d[0] is None, d[0] or 0))
+    given = frame(spark, docs).withColumn("doc", F.lit(5)).withColumn("tie", F.lit("x")).withColumn("spans", F.lit("y"))
+    got = sorted(map(repr, map(tuple, suffix_dedup.digest(given).collect())))
+    assert got == sorted(repr((d, *x)) for (d, _), x in want.items())
+
+
+def test_suffix_dedup_of_shared_and_null_ids(spark):
+    rnd = random.Random(8)
+    part = ["".join(rnd.choice("abcdefgh ") for _ in range(170)) for _ in range(6)]
+    docs = [(1, part[0] + "x" + part[1]), (1, part[1] + "y" + part[2]), (None, part[2] + part[3]), (None, part[3] + "z" + part[0]), (0, part[4]), (0, part[4]), (7, ""), (7, None), (8, part[4][:99])]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    tie = {r.text: r.h for r in given.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = brute_removed(list(dict.fromkeys(docs)), lambda d: (d[0] is None, d[0] or 0, tie[d[1]]))
+    got = sorted(map(repr, map(tuple, suffix_dedup.digest(given).collect())))
+    assert got == sorted(repr((d[0], *want[d])) for d in docs)
+
+
+@pytest.mark.parametrize("size", [60, 97])
+def test_suffix_dedup_without_repeats(spark, size):
+    rnd = random.Random(size)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(size))
+    docs = [(i, "".join(rnd.choice("ijklmnop") for _ in range(200)) + "!" + shared + "?" + "".join(rnd.choice("qrstuvw") for _ in range(200))) for i in range(2)]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.digest(given).collect()) == [(0, 0, 0), (1, 0, 0)]
+    assert suffix_dedup.digest(given.where("doc_id > 9")).count() == 0
+
+
+def test_suffix_dedup_compares_bytes(spark, monkeypatch):
+    import types
+
+    # All runs of one length have one hash at first: the comparison sees it and the next hash is taken.
+    first = types.SimpleNamespace(xxh3_64_intdigest=lambda x, seed=0: len(x) if seed == 0 else int.from_bytes(hashlib.sha1(bytes(x)).digest()[:8], "big"))
+    monkeypatch.setattr(suffix_dedup, "xxhash", first)
+    calls = []
+    equal = suffix_dedup._all_equal
+    monkeypatch.setattr(suffix_dedup, "_all_equal", lambda x: calls.append(equal(x)) or calls[-1])
+    rnd = random.Random(9)
+    docs = [(i, "".join(rnd.choice("abc") for _ in range(120)) + "-" * 60 + "common words in the middle of everything and more of them, until they fill a window whole" + "-" * 60 + "".join(rnd.choice("abc") for _ in range(120)), None, None, 0) for i in range(12)]
+    want = brute_removed(docs, lambda d: d[0])
+    got = sorted(map(repr, map(tuple, suffix_dedup.digest(frame(spark, docs)).collect())))
+    assert got == sorted(repr((d, *x)) for (d, _), x in want.items())
+    assert calls == [False, True]
     assert suffix_dedup.digest(frame(spark, []).where("doc_id > 1")).count() == 0
 
 
