@@ -152,7 +152,7 @@ def _dealt(docs: DataFrame, buckets: int, seed: int = 0) -> DataFrame:
             parts = np.split(runs, cuts) if len(runs) else []
             names = bucket[np.concatenate([[0], cuts])].tolist() if len(runs) else []
             rows = [(b, p.tobytes(), None) for b, p in zip(names, parts, strict=True)]
-            rows += [(i % buckets, None, p.tobytes()) for i, p in enumerate(np.array_split(spans, 1 + len(spans) // 4096)) if len(p)]
+            rows += [(int(p[0, 0] + p[0, 2] + i) % buckets, None, p.tobytes()) for i, p in enumerate(np.array_split(spans, 1 + len(spans) // 4096)) if len(p)]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "runs", "repeats"])
 

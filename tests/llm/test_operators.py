@@ -262,7 +262,7 @@ def test_suffix_dedup_of_shared_and_null_ids(spark):
 def test_suffix_dedup_without_repeats(spark, size):
     rnd = random.Random(size)
     shared = "".join(rnd.choice("abcdefgh ") for _ in range(size))
-    docs = [(i, "".join(rnd.choice("ijklmnop") for _ in range(200)) + "!" + shared + "?" + "".join(rnd.choice("qrstuvw") for _ in range(200))) for i in range(2)]
+    docs = [(i, "".join(rnd.choice(own) for _ in range(200)) + "!" + shared + "?" + "".join(rnd.choice(own) for _ in range(200))) for i, own in enumerate(("ijklm", "nopqr"))]
     given = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.digest(given).collect()) == [(0, 0, 0), (1, 0, 0)]
     assert suffix_dedup.digest(given.where("doc_id > 9")).count() == 0
