@@ -7,14 +7,16 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
    into one class, which from here on is one node however many copies it has.
 2. Bands of register values are grouped. In every group each member is paired with the group's first member only, so that
    pairs grow with the members and not with their square.
-3. Pairs whose similarity of largest likelihood is too low are left; the others are confirmed on the whole sets, and links
-   are joined to components.
-4. Groups that still hold several components are gone through in blocks of BLOCK members: members of different
-   components are compared by their sketches inside a task, plausible pairs are confirmed there on the whole sets, and
-   only links that join components leave it. No pair of a group goes without a comparison unless it is connected already.
+3. Pairs whose similarity of largest likelihood is too low are left; of the others the texts are fetched, the pairs are
+   confirmed on the whole sets, and links are joined to components.
+4. Groups that still hold several components are gone through in blocks of BLOCK members, by their sketches alone. A group
+   of more members is split before, each pair meeting where it shares a second band. Of every two components that meet in
+   a block the pair most alike is confirmed first; of components still apart after that, all plausible pairs are. No pair
+   of a group goes without a comparison unless it is connected already.
 
-With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8; under 85 the bands
-are 43 of five registers, which gives 2e-8 at 80. The estimate must miss by the margin, five standard errors, to lose one. Shingles and sets are named by 64-bit hashes.
+With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8, and only one band
+with 2e-7; under 85 the bands are 43 of five registers, which gives the same at 80. The estimate must miss by the margin,
+five standard errors, to lose one. Shingles and sets are named by 64-bit hashes.
 
 Defined results: a null or empty text is its own component with n_shingles 0; equal rows are copies, of which one row only
 is kept; rows that share a doc_id but not their text are separate documents, told apart by their sets; a null doc_id never
@@ -44,7 +46,8 @@ LOW_ROWS = 5
 BLOCK = 512
 #: Ids of documents to be fetched are broadcast up to this number; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-KNOWN_WORDS = 500_000
+#: Bytes of the words whose hashes a worker keeps.
+KNOWN_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -54,18 +57,22 @@ class Shingles:
     """64-bit names of a text's distinct shingles, ascending."""
 
     def __init__(self, size: int = WORDS):
-        self.size, self.known = size, {}
+        self.size, self.known, self.held = size, {}, 0
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.translate(_LOWER).split() if text else []
         known = self.known
-        if len(known) > KNOWN_WORDS:
+        if self.held > KNOWN_BYTES:
             known.clear()
+            self.held = 0
         ids = []
         for w in words:
             x = known.get(w)
             if x is None:
-                x = known[w] = xxhash.xxh3_64_intdigest(w)
+                x = xxhash.xxh3_64_intdigest(w)
+                if self.held <= KNOWN_BYTES:
+                    known[w] = x
+                    self.held += len(w)
             ids.append(x)
         ids = np.array(ids, np.uint64)
         if len(ids) < self.size:
@@ -176,38 +183,31 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -
     return written(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "fetched")
 
 
-def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links that join different components inside each group (band, pos, node, root, n, sketch, text), in blocks.
+def _across(groups: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Plausible pairs (a, b) of different components inside each group (band, pos, node, root, n, sketch), in blocks.
 
-    A pair is looked at in the first band that it shares, and confirmed on the whole sets where its members are not
-    connected yet by their components or by links found before in the block, so a block gives fewer links than members.
+    A pair is looked at in the first band that it shares; where that band's group has more than BLOCK members, in the group
+    of those that share the second one too. Unless `every`, a block gives the pair most alike of every two components.
     """
-    sized = groups.join(groups.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
+    width = _rows(percent)
+    bands = REGISTERS // width
+    sizes = groups.groupBy("band").agg(F.count("*").alias("size"))
+    sized = groups.join(sizes, "band")
+    small = sized.where(F.col("size") <= BLOCK).withColumn("pos2", F.lit(-1))
+    large = sized.where(F.col("size") > BLOCK).withColumn("pos2", F.explode(F.expr(f"filter(sequence(0, {bands - 1}), i -> i > pos)")))
+    large = large.withColumn("band", F.xxhash64("band", F.expr(f"substring(sketch, pos2 * {width} + 1, {width})"), "pos2")).drop("size")
+    large = large.join(large.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
+    rows = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = sized.withColumn("own", own).withColumn("other", other)
-    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "node", "root", "n", "sketch", "text")
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "pos2", "node", "root", "n", "sketch")
     dealt = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-    width = _rows(percent)
-    bands = REGISTERS // width
-
-    def links(t: pa.Table, shingles: Shingles) -> list[tuple[int, int]]:
-        node, root, n, own, pos = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "pos"))
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, root, n, own, pos, pos2 = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "pos", "pos2"))
         s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        text, sets, up, out = t.column("text"), {}, {r: r for r in root.tolist()}, []
-
-        def top(r: int) -> int:
-            while up[r] != r:
-                up[r] = up[up[r]]
-                r = up[r]
-            return r
-
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles(text[i].as_py().encode())
-            return sets[i]
-
+        first, second, alike = [], [], []
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node))
             y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
@@ -215,25 +215,34 @@ def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
                 y = y[own[y] != own[x]]
             if not len(y):
                 continue
-            y = y[at_least(percent / 100 - _margin(percent), n[x], n[y], *_counts(s[x], s[y]))]
-            y = y[(s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2).argmax(axis=1) == pos[x]]
-            for z in y.tolist():
-                a, b = top(int(root[x])), top(int(root[z]))
-                if a != b:
-                    u, v = of(x), of(z)
-                    common = len(np.intersect1d(u, v, assume_unique=True))
-                    if common * 100 >= percent * (len(u) + len(v) - common):
-                        up[max(a, b)] = min(a, b)
-                        out.append((int(node[x]), int(node[z])))
-        return out
+            shared = (s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2)
+            here = shared.argmax(axis=1) == pos[x]
+            if pos2[x] >= 0:
+                shared[:, pos[x]] = False
+                here &= shared.any(axis=1) & (shared.argmax(axis=1) == pos2[x])
+            y = y[here]
+            counts = _counts(s[x], s[y])
+            ok = at_least(percent / 100 - _margin(percent), n[x], n[y], *counts)
+            first.append(np.full(int(ok.sum()), x))
+            second.append(y[ok])
+            alike.append(counts[2][ok])
+        if not first:
+            return node[:0], node[:0]
+        x, y, alike = np.concatenate(first), np.concatenate(second), np.concatenate(alike)
+        if not every:
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            order = np.lexsort([node[y], node[x], -alike, high, low])
+            new = np.ones(len(order), bool)
+            new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+            x, y = x[order][new], y[order][new]
+        return node[x], node[y]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        shingles = Shingles(size)
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            found = links(t, shingles)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            a, b = pairs(t)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
         last = None
         for batch in batches:
@@ -251,7 +260,7 @@ def _across(groups: DataFrame, percent: int, size: int) -> DataFrame:
         if held:
             yield out(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -262,17 +271,25 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     width = _rows(percent)
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * width + 1, F.lit(width)), i))
     members = classes.select("node", F.posexplode(bands).alias("pos", "band"))
-    groups = written(members.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"), "groups")
+    groups = members.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(groups, "band"), "shared")
-    fetched = _fetched(docs, signed, shared.select("node").distinct(), size)
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(pairs, f"{name}_pairs")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return written(_confirmed(pairs, _fetched(docs, signed, nodes, size), percent, size), name)
+
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(_plausible(stars, classes, percent), fetched, percent, size), "stars")
+    links = confirmed(_plausible(stars, classes, percent), "stars")
     roots = components(links)
-    placed = shared.select("band", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node").join(fetched, "node")
-    more = written(_across(rest, percent, size), "more")
-    roots = components(links.unionByName(more))
+    for every in (False, True):
+        placed = shared.select("band", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+        rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node")
+        more = confirmed(_across(written(rest, "rest"), percent, every), "more")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
     by_node = written(named.join(labels, "root").select("node", "root", "component_id"), "labels")
@@ -306,7 +323,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
     ids = written(ids, "shared_ids")
     if not ids.limit(1).count():
-        drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
+        drop = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct(), "drop")
+        if drop.count() <= BROADCAST_IDS:
+            drop = F.broadcast(drop)
         return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
     found = written(found, "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
