@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .common import chunks, shipped, texts
 
 N = 10
-BOUND = 32 << 20
+#: Bytes of benchmark text whose windows are broadcast at one time: with words of six bytes some 30 MB.
+BOUND = 4 << 20
 
 _KEEP = [c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)]
 #: Word characters as they are, A-Z in lower case, all others to a space.
@@ -49,27 +50,38 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """All windows of some items: per window length a sorted hash array, the words to verify, and the items."""
+    """All windows of some items: per window length sorted hashes, a place where each stands, and the items that hold it.
+
+    Everything but the vocabulary lies in flat arrays: a word costs 4 bytes, a window 20 and 8 for every item.
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
+        number = self.vocabulary
+        parts = [np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32) for _, text in items]
+        lengths = np.array([len(x) for x in parts], np.int64)
+        self.flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+        first = np.cumsum(lengths) - lengths
         self.by_length = {}
-        for size, windows in sorted(found.items()):
-            grams = np.array(list(windows), dtype=np.int64)
+        for size in sorted(set(np.minimum(lengths[lengths > 0], n).tolist())):
+            own = np.flatnonzero((lengths >= n) if size == n else (lengths == size))
+            count = lengths[own] - size + 1
+            item = np.repeat(own, count)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[item]
             for seed in range(1, 100):
                 factors = np.random.default_rng(seed).integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1)
-                hashes = self._hash(grams.T, factors)
-                if len(np.unique(hashes)) == len(grams):
+                hashes = self._hash([self.flat[at + j] for j in range(size)], factors)
+                order = np.argsort(hashes, kind="stable")
+                again = hashes[order][1:] == hashes[order][:-1]
+                a, b = at[order][1:][again], at[order][:-1][again]
+                if all((self.flat[a + j] == self.flat[b + j]).all() for j in range(size)):
                     break
-            order = np.argsort(hashes)
-            listed = [sorted(x for x in s if x is not None) for s in windows.values()]
-            self.by_length[size] = (factors, hashes[order], grams[order], [listed[i] for i in order])
+            new = np.concatenate([[True], ~again])
+            starts = np.flatnonzero(new)
+            named = np.array([-1 if items[i][0] is None else items[i][0] for i in own], np.int64)
+            unnamed = np.array([items[i][0] is None for i in own], bool)
+            place = np.searchsorted(own, item[order])
+            self.by_length[size] = (factors, hashes[order][new], at[order][new].astype(np.int32), np.append(starts, len(order)).astype(np.int32), named[place], unnamed[place])
 
     @staticmethod
     def _hash(columns, factors) -> np.ndarray:
@@ -85,7 +97,7 @@ class Windows:
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         cover, items = None, set()
-        for size, (factors, hashes, grams, listed) in self.by_length.items():
+        for size, (factors, hashes, places, bounds, listed, unnamed) in self.by_length.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[: len(unknown) - size])
@@ -97,7 +109,7 @@ class Windows:
             at, k = at[same], k[same]
             if not len(at):
                 continue
-            real = (grams[k] == ids[at[:, None] + np.arange(size)]).all(axis=1)
+            real = (self.flat[places[k][:, None] + np.arange(size)] == ids[at[:, None] + np.arange(size)]).all(axis=1)
             at, k = at[real], k[real]
             if not len(at):
                 continue
@@ -105,8 +117,9 @@ class Windows:
                 cover = np.zeros(len(ids) + 1, dtype=np.int64)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size, -1)
-            for i in np.unique(k):
-                items.update(listed[i])
+            for i in np.unique(k).tolist():
+                held = slice(bounds[i], bounds[i + 1])
+                items.update(listed[held][~unnamed[held]].tolist())
         return len(words), None if cover is None else np.cumsum(cover[:-1]) > 0, items
 
 

@@ -5,6 +5,10 @@ density, those of the blocks before and after it, its tag, and the marked contai
 on a small labelled table that a seeded rule writes, tells which blocks are article text. Reading is linear in the page's
 length, however broken the mark-up, and no page is cut.
 
+Names mark a container as boilerplate or as an article. Classes that tell a state ("no-sidebar", "comments-open") mark
+nothing, an `article` or `main` element is one whatever its classes, an element whose classes say both says nothing, and a
+`header` inside an `article` or `main` belongs to it.
+
 Defined results: a null or empty page has an empty text; a tag, comment or script that the page does not end takes the
 rest of the page; a head that the page does not end stops before the first text or tag that cannot stand in a head; a `<` that opens no tag is text; character references are decoded as browsers do, those that do not
 end in a semicolon included; white space, the no-break space included, becomes one space; repeated rows each get a row.
@@ -44,6 +48,10 @@ BOILER_NAMES = frozenset(
     "subscribe newsletter signup login search popup modal overlay toolbar copyright disclaimer legal masthead pagination pager tags teaser".split()
 )
 
+#: First and last words of classes that tell a state and no place.
+STATE_FIRST = frozenset("no has with without is not hide show".split())
+STATE_LAST = frozenset("open closed on off enabled disabled".split())
+
 _ATTRS = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _MARK = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -58,31 +66,68 @@ def _side(tag: str, attrs: str) -> int:
     if tag in BOILER_TAGS:
         return -1
     if tag in ("article", "main"):
-        side = 1
-    elif tag in ("html", "body"):
+        return 1
+    if tag in ("html", "body") or "=" not in attrs:
         return 0
-    else:
-        side = 0
-    if "=" in attrs:
-        for _, found in _MARK.findall(attrs):
-            names = set(_WORD.findall(found.lower()))
-            if names & BOILER_NAMES:
-                return -1
-            if names & MAIN_NAMES:
-                side = 1
-    return side
+    main = boiler = False
+    for _, found in _MARK.findall(attrs):
+        for name in found.lower().strip("\"'").split():
+            words = _WORD.findall(name)
+            if not words or len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+                continue
+            if BOILER_NAMES.intersection(words):
+                boiler = True
+            elif MAIN_NAMES.intersection(words):
+                main = True
+    return main - boiler
+
+
+class Open:
+    """The open elements, with what a block or an end tag asks of them kept up to date."""
+
+    __slots__ = ("boiler", "hidden", "main", "marked", "of", "sides", "stack")
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.sides: list[int] = []
+        self.of: dict[str, int] = {}
+        self.marked: dict[str, int] = {}
+        self.main = self.boiler = self.hidden = 0
+
+    def push(self, tag: str, side: int) -> None:
+        self.stack.append((tag, side))
+        self.of[tag] = self.of.get(tag, 0) + 1
+        self.hidden += tag in HIDDEN
+        if side:
+            self.sides.append(side)
+            self.marked[tag] = self.marked.get(tag, 0) + 1
+            self.main += side > 0
+            self.boiler += side < 0
+
+    def pop(self) -> str:
+        tag, side = self.stack.pop()
+        self.of[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        if side:
+            self.sides.pop()
+            self.marked[tag] -= 1
+            self.main -= side > 0
+            self.boiler -= side < 0
+        return tag
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
 
 
 class Block:
     __slots__ = ("item", "heading", "in_boiler", "in_main", "inside", "linked", "text", "words")
 
-    def __init__(self, text: str, linked: int, stack: list):
+    def __init__(self, text: str, linked: int, around: Open):
         words = text.split()
         self.text, self.words, self.linked = " ".join(words), len(words), linked
-        sides = [s for _, s in stack if s]
-        self.inside = sides[-1] if sides else 0
-        self.in_main, self.in_boiler = 1 in sides, -1 in sides
-        tag = stack[-1][0] if stack else ""
+        self.inside = around.sides[-1] if around.sides else 0
+        self.in_main, self.in_boiler = around.main > 0, around.boiler > 0
+        tag = around.top()
         self.heading, self.item = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag == "li"
 
 
@@ -91,9 +136,9 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, int]] = []
+    around = Open()
     parts: list[str] = []
-    linked = links = hidden = 0
+    linked = links = 0
     simple = False
     at, n = 0, len(page)
 
@@ -103,20 +148,18 @@ def blocks(page: str | None) -> list[Block]:
             text = "".join(parts)
             parts.clear()
             if text and not text.isspace():
-                out.append(Block(text, linked, stack))
+                out.append(Block(text, linked, around))
         linked = 0
 
     def leave_head() -> None:
-        nonlocal hidden
-        if stack and stack[-1][0] == "head":
-            stack.pop()
-            hidden -= 1
+        if around.top() == "head":
+            around.pop()
 
     def add(raw: str) -> None:
         nonlocal linked
-        if hidden and not raw.isspace():
+        if around.hidden and not raw.isspace():
             leave_head()
-        if raw and not hidden:
+        if raw and not around.hidden:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
@@ -151,7 +194,7 @@ def blocks(page: str | None) -> list[Block]:
             if not end:
                 break
         attrs, at = page[head.end() : end - 1], end
-        if hidden and name not in IN_HEAD and (name[0] != "/" or name in ("/body", "/html", "/br")):
+        if around.hidden and name not in IN_HEAD and (name[0] != "/" or name in ("/body", "/html", "/br")):
             leave_head()
         if name[0] == "/":
             name = name[1:]
@@ -159,18 +202,15 @@ def blocks(page: str | None) -> list[Block]:
                 links = max(0, links - 1)
             elif name == "br":
                 parts.append(" ")
-            marked = any(t == name for t, _ in reversed(stack))
+            marked = around.of.get(name, 0) > 0
             if name not in INLINE or marked:
                 if name not in INLINE:
                     flush()
-                elif parts and any(s for t, s in stack if t == name):
+                elif parts and around.marked.get(name):
                     flush()
                 if marked:
-                    while stack:
-                        tag, _ = stack.pop()
-                        hidden -= tag in HIDDEN
-                        if tag == name:
-                            break
+                    while around.pop() != name:
+                        pass
             continue
         if name in RAW:
             end_tag = _END[name].search(page, at)
@@ -188,21 +228,20 @@ def blocks(page: str | None) -> list[Block]:
         if name == "a":
             links += 1
             continue
-        side = _side(name, attrs)
+        side = 0 if name == "header" and around.main and not around.boiler else _side(name, attrs)
         if name in INLINE:
             if side == -1 and not attrs.endswith("/"):
                 flush()
-                stack.append((name, side))
+                around.push(name, side)
             continue
         flush()
         links = 0
         closes = CLOSES_ITSELF.get(name, ("p",))
-        while stack and stack[-1][0] in closes:
-            stack.pop()
+        while around.top() in closes:
+            around.pop()
         if not attrs.endswith("/"):
-            stack.append((name, side))
-            hidden += name in HIDDEN
-    if not hidden:
+            around.push(name, side)
+    if not around.hidden:
         flush()
     return out
 

@@ -1,8 +1,8 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence together with that of its host and path.
 
 A document classifier (boosted trees on counts of words, symbols, cases and repetitions, fitted on a bounded sample of
-labelled documents and calibrated) gives every document a probability of being good. Their means over all documents of a
-path and of a host are shrunk, the path's towards its host's and the host's towards that of all documents, with weights
+labelled documents and calibrated) gives every document a probability of being good. Their means over all other documents
+of its path and of its host are shrunk, the path's towards its host's and the host's towards that of all documents, with weights
 that the spread between sites itself gives (method of moments): a sparse site says little beyond its parent. The log-odds
 of the path's posterior mean, less those of all documents, are added to the document's own.
 
@@ -105,8 +105,21 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def sites(scored: DataFrame, host: str = "source", path: str = "lang") -> tuple[DataFrame, float]:
-    """Posterior means (host, path, n, host_score, path_score), and the mean of all documents. scored has __p."""
+class Prior:
+    """The mean of all documents, and for how many documents a parent's mean counts: at a host, at a path."""
+
+    def __init__(self, mean: float, host: float, path: float):
+        self.mean, self.host, self.path = mean, host, path
+
+    def host_score(self, n: Column, s: Column) -> Column:
+        return (s + F.lit(self.host * self.mean)) / (n + F.lit(self.host))
+
+    def path_score(self, n: Column, s: Column, parent: Column) -> Column:
+        return (s + F.lit(self.path) * parent) / (n + F.lit(self.path))
+
+
+def sites(scored: DataFrame, host: str = "source", path: str = "lang") -> tuple[DataFrame, Prior]:
+    """Counts and sums of the probabilities by site (host, path, n, s, hn, hs), and the prior. scored has __p."""
     sums = scored.select(F.col(host).alias("host"), F.col(path).alias("path"), "__p").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("__p").alias("s"))
     sums = written(sums, "sites")
     hosts = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
@@ -123,11 +136,10 @@ def sites(scored: DataFrame, host: str = "source", path: str = "lang") -> tuple[
         return min(1e6, max(1.0, within / between - 1 if between > 0 else 1e6))
 
     kh = weight(hosts, "hn", "hs", F.lit(mean), total.k)
-    hosts = hosts.withColumn("host_score", (F.col("hs") + F.lit(kh * mean)) / (F.col("hn") + F.lit(kh)))
-    named = hosts.select(F.col("host").alias("own_host"), "host_score")
-    both = sums.join(named, F.col("host").eqNullSafe(F.col("own_host"))).select("host", "path", "n", "s", "host_score")
-    kp = weight(both, "n", "s", F.col("host_score"), both.count())
-    return written(both.withColumn("path_score", (F.col("s") + F.lit(kp) * F.col("host_score")) / (F.col("n") + F.lit(kp))), "posteriors"), mean
+    named = hosts.select(F.col("host").alias("own_host"), "hn", "hs")
+    both = written(sums.join(named, F.col("host").eqNullSafe(F.col("own_host"))).select("host", "path", "n", "s", "hn", "hs"), "posteriors")
+    kp = weight(both, "n", "s", Prior(mean, kh, 1.0).host_score(F.col("hn"), F.col("hs")), both.count())
+    return both, Prior(mean, kh, kp)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -135,24 +147,32 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
-def judged(docs: DataFrame, classifier: Classifier, host: str = "source", path: str = "lang", prefix: str = "") -> DataFrame:
-    """docs with doc_score, host_score, path_score, posterior and kept, after the prefix (columns so named are replaced)."""
-    small = written(with_probability(docs.select(host, path, "text"), classifier).select(host, path, "__p"), "scores")
-    found, mean = sites(small, host, path)
-    found = found.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_score").alias("__hs"), F.col("path_score").alias("__ps"))
+def judged(docs: DataFrame, classifier: Classifier, host: str = "source", path: str = "lang", prefix: str = "", texts_too: bool = True) -> DataFrame:
+    """docs with doc_score, host_score, path_score, posterior and kept, after the prefix (columns so named are replaced).
+
+    The texts are read once: their probabilities are written with the documents (without the text unless texts_too).
+    A document's own probability is left out of the means of its host and path.
+    """
+    columns = [c for c in docs.columns if texts_too or c != "text"]
+    scored = written(with_probability(docs, classifier).select(*[F.col(f"`{c}`") for c in columns], "__p"), "scores")
+    found, prior = sites(scored, host, path)
+    found = found.select(F.col("host").alias("__host"), F.col("path").alias("__path"), *[F.col(c).alias(f"__{c}") for c in ("n", "s", "hn", "hs")])
     if found.count() <= BROADCAST_SITES:
         found = F.broadcast(found)
-    scored = with_probability(docs, classifier)
     joined = scored.join(found, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    odds = _logit(F.col("__p")) + _logit(F.col("__ps")) - _logit(F.lit(float(mean)))
-    posterior = F.when(F.col("__p") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
-    made = {"doc_score": F.col("__p"), "host_score": F.col("__hs"), "path_score": F.col("__ps"), "posterior": posterior, "kept": (posterior >= KEEP_AT) if classifier.trees else F.lit(True)}
+    own = F.col("__p")
+    host_score = prior.host_score(F.col("__hn") - 1, F.greatest(F.col("__hs") - own, F.lit(0.0)))
+    path_score = prior.path_score(F.col("__n") - 1, F.greatest(F.col("__s") - own, F.lit(0.0)), host_score)
+    odds = _logit(own) + _logit(path_score) - _logit(F.lit(float(prior.mean)))
+    posterior = F.when(own == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
+    made = {"doc_score": own, "host_score": host_score, "path_score": path_score, "posterior": posterior, "kept": (posterior >= KEEP_AT) if classifier.trees else F.lit(True)}
     made = {prefix + k: v for k, v in made.items()}
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return joined.select(*[F.col(f"`{c}`") for c in columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs.select("doc_id", "source", "lang", "text"), fitted(docs, labels)).drop("text")
+    """Per document: doc_id, source, lang, doc_score, host_score, path_score, posterior, kept."""
+    return judged(docs.select("doc_id", "source", "lang", "text"), fitted(docs, labels), texts_too=False)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

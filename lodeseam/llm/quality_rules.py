@@ -7,8 +7,8 @@ measure the median and the spread (distance between the quartiles) over all docu
 rejected if a measure lies more than WIDTH spreads, and more than FLOOR, beyond the median on its bad side. A group of
 under FEW documents takes the bands of its length in all languages; where that is as small, nothing is rejected.
 
-One small row a document is written; the bands are one row a group, made of mergeable sketches, of every group that is
-large enough. They are broadcast up to BROADCAST_GROUPS rows, and joined by shuffle beyond it. A measure counts from MIN_TOKENS tokens up; the base rules hold for every text.
+One small row a document is written; the bands are one row a group, of every group that is large enough, made from counts
+of the measures on a fixed grid, so that they are the same however the rows are dealt. They are broadcast up to BROADCAST_GROUPS rows, and joined by shuffle beyond it. A measure counts from MIN_TOKENS tokens up; the base rules hold for every text.
 
 Defined results: a null or empty text has no words, hence fails the base rules; a null language is a group of its own;
 repeated rows each get a row.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, texts, written
@@ -35,6 +35,9 @@ WIDTH = 5.0
 FLOOR = {"chars_per_token": 0.15, "fallback_share": 0.02, "entropy": 0.1}
 MIN_TOKENS = 64
 FEW = 100
+#: Steps of the grid on which quartiles are found: parts of a unit, and the highest step.
+GRID = 1024
+TOP = 64 * GRID
 #: Groups whose bands are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 200_000
 
@@ -134,11 +137,19 @@ def judged(docs: DataFrame, model: str | None = None) -> DataFrame:
     rows = written(measures(docs, model), "measures").withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     usable = rows.where((F.col("n_tokens") >= MIN_TOKENS) & ~base_failed)
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in FLOOR]
+    steps = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.least(F.round(F.col(m) * GRID), F.lit(TOP)).cast("int").alias("step")) for m in FLOOR]))
+    counts = usable.select("lang", "script", "size", steps.alias("x")).groupBy("lang", "script", "size", "x.m", "x.step").agg(F.count("*").alias("k"))
+    counts = written(counts, "grid")
 
     def bands(prefix: str, *keys: str) -> DataFrame:
-        groups = usable.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= FEW)
-        groups = written(groups.select(*keys, *[F.col(m).alias(f"{prefix}{m}") for m in FLOOR]), f"{prefix}bands")
+        """Per group the quartiles of each measure: the first step that a quarter of the documents does not exceed, and so on."""
+        by_step = counts.groupBy(*keys, "m", "step").agg(F.sum("k").alias("k"))
+        group = Window.partitionBy(*keys, "m")
+        upto = by_step.select(*keys, "m", "step", F.sum("k").over(group.orderBy("step")).alias("upto"), F.sum("k").over(group).alias("n")).where(F.col("n") >= FEW)
+        quartiles = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, F.col("step"))) / GRID for q in (1, 2, 3)]
+        rows = upto.groupBy(*keys, "m").agg(F.array(*quartiles).alias("q"))
+        groups = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"{prefix}{m}") for m in FLOOR])
+        groups = written(groups, f"{prefix}bands")
         return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
     joined = rows.join(bands("own_", "lang", "script", "size"), ["lang", "script", "size"], "left").join(bands("all_", "size"), ["size"], "left")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -126,6 +127,15 @@ def test_toxicity_learns_words_and_spellings(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_toxicity_of_awkward_tables(spark):
+    docs = documents(count=30) + [(7000, "word " * 300_000, "en", "s", 0)]
+    labels = spark.createDataFrame([(d[0], 1, k % 2) for k, d in enumerate(docs) if d[0] is not None], "doc_id long, quality int, toxic int")
+    given = frame(spark, docs).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
+    assert toxicity.digest(given, labels).count() == len(docs)
+    assert toxicity.digest(given.where("doc_id < -9"), labels).count() == 0
+    assert {r.score for r in toxicity.digest(given, labels.where("doc_id < -9")).collect()} == {0.0}
+
+
 # 4
 
 
@@ -163,6 +173,35 @@ def test_every_group_has_its_own_bands(spark, monkeypatch, bound):
     assert failed == {9999}
 
 
+def test_bands_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "FEW", 20)
+    rnd = random.Random(14)
+    rows = []
+    for i in range(900):
+        lang, script, n = rnd.choice(["en", "de", "xx"] if i < 890 else ["rare"]), rnd.choice(["latin", "other"]), rnd.choice([10, 70, 130, 140])
+        wild = rnd.random() < 0.05
+        rows.append((i, lang, script, rnd.choice([100, 100, 5]), 0, 0, 0, rnd.choice([0, 0, 0, 30]), n, 4 + rnd.gauss(0, 0.1) + 3 * wild, abs(rnd.gauss(0, 0.01)), 0.8 + rnd.gauss(0, 0.01) - 0.4 * (wild and rnd.random() < 0.5)))
+    monkeypatch.setattr(quality_rules, "measures", lambda docs, model=None: spark.createDataFrame(rows, quality_rules.SCHEMA))
+    got = {r.doc_id: (r.base_failed, r.band_failed) for r in quality_rules.judged(None).collect()}
+    own, all_ = collections.defaultdict(list), collections.defaultdict(list)
+    base = {r[0]: r[3] < 10 or 100 * r[7] > 20 * r[3] for r in rows}
+    for r in rows:
+        if r[8] >= 64 and not base[r[0]]:
+            for m, x in enumerate(r[9:]):
+                step = min(65536, math.floor(x * 1024 + 0.5))
+                own[r[1], r[2], r[8].bit_length(), m].append(step)
+                all_[r[8].bit_length(), m].append(step)
+    quartiles = lambda xs: [sorted(xs)[-(-len(xs) * q // 4) - 1] / 1024 for q in (1, 2, 3)] if len(xs) >= 20 else None
+    for r in rows:
+        failed = False
+        for m, floor in enumerate((0.15, 0.02, 0.1)):
+            q = quartiles(own[r[1], r[2], r[8].bit_length(), m]) or quartiles(all_[r[8].bit_length(), m])
+            if r[8] >= 64 and q:
+                off = (abs(r[9] - q[1]), r[10] - q[1], q[1] - r[11])[m]
+                failed |= off > max(5 * (q[2] - q[0]), floor)
+        assert got[r[0]] == (base[r[0]], failed), r
+
+
 def test_repeated_words_with_a_large_vocabulary():
     words = [str(i).encode() for i in range(8000)] + [b"1", b"2", b"3", b"4", b"5"]
     assert quality_rules.repeated_words(words) == 10
@@ -326,6 +365,15 @@ def test_personal_data(spark):
     assert all(set(brute_pii(d[1])) <= set(r["spans"].split(",")) for d, r in zip(sorted(docs, key=repr), sorted(got, key=repr), strict=True) if d[0] == r["doc_id"])
 
 
+def test_personal_data_of_awkward_texts(spark):
+    key = "A" * 500 + "b7" + "c" * 40
+    docs = [(1, f'token = "{key}" and more', None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0), (4, "call (743) 555-3824, " * 3000, None, None, 0)]
+    got = {r.doc_id: r for r in pii.digest(frame(spark, docs).withColumn("spans", F.lit("x")).withColumn("kind", F.lit(1))).collect()}
+    assert f"secret:9:{9 + len(key)}" in got[1].spans and got[1].n_spans >= 1
+    assert got[2].n_spans == got[3].n_spans == 0 and got[4].n_spans == 3000
+    assert pii.digest(frame(spark, docs).where("doc_id < 0")).count() == 0
+
+
 def test_redaction(spark):
     text = 'é write to me@example.com or call tel (743) 555-3824; token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" commit 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e end'
     got = {r.doc_id: r.text for r in pii.redact(frame(spark, [(1, text, "en", "s", 0), (2, None, "en", "s", 0), (3, "nothing", "en", "s", 0)])).collect()}
@@ -441,9 +489,49 @@ def test_quality_classifier(spark):
 
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.9)] * 400 + [("bad", "p", 0.1)] * 400 + [("tiny", "p", 0.1)]
-    found, mean = quality_classifier.sites(spark.createDataFrame(rows, "source string, lang string, __p double"))
-    score = {r.host: r.path_score for r in found.collect()}
-    assert score["big"] > 0.85 and score["bad"] < 0.15 and score["bad"] < score["tiny"] < mean
+    found, prior = quality_classifier.sites(spark.createDataFrame(rows, "source string, lang string, __p double"))
+    host = prior.host_score(F.col("hn"), F.col("hs"))
+    score = {r.host: r.score for r in found.select("host", prior.path_score(F.col("n"), F.col("s"), host).alias("score")).collect()}
+    assert score["big"] > 0.85 and score["bad"] < 0.15 and score["bad"] < score["tiny"] < prior.mean
+
+
+def test_quality_posteriors_equal_brute_force(spark, monkeypatch):
+    """Every document's site means, without the document itself, from the formulas of the method of moments."""
+    rnd = random.Random(19)
+    rows = [(i, f"text {i}", rnd.choice(["en", "de", None]), rnd.choice(["a", "a", "b", None, f"s{i % 9}"]), rnd.random()) for i in range(300)]
+
+    class Known:
+        trees = (1,)
+
+        def probability(self, found):
+            return np.array([p_of[t] for t in found])
+
+    p_of = {t.encode(): p for _, t, _, _, p in rows}
+    docs = spark.createDataFrame([(i, t, lang, src, 0) for i, t, lang, src, _ in rows], COLUMNS)
+    got = {r.doc_id: r for r in quality_classifier.judged(docs, Known()).collect()}
+    n, s = collections.Counter(), collections.Counter()
+    for _, _, lang, src, p in rows:
+        for key in ((src,), (src, lang)):
+            n[key] += 1
+            s[key] += p
+    mean = sum(p for *_, p in rows) / len(rows)
+
+    def weight(keys, parent):
+        total, q = sum(n[k] for k in keys), sum(n[k] ** 2 for k in keys)
+        v = sum(n[k] * (s[k] / n[k] - parent(k)) ** 2 for k in keys)
+        between = (v - (len(keys) - 1) * mean * (1 - mean)) / (total - q / total)
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1 if between > 0 else 1e6))
+
+    hosts, paths = [k for k in n if len(k) == 1], [k for k in n if len(k) == 2]
+    kh = weight(hosts, lambda k: mean)
+    kp = weight(paths, lambda k: (s[k[:1]] + kh * mean) / (n[k[:1]] + kh))
+    logit = lambda x: np.log(x / (1 - x))
+    for i, _, lang, src, p in rows:
+        h, k = (src,), (src, lang)
+        host = (s[h] - p + kh * mean) / (n[h] - 1 + kh)
+        path = (s[k] - p + kp * host) / (n[k] - 1 + kp)
+        posterior = 1 / (1 + np.exp(-(logit(min(max(p, 1e-4), 1 - 1e-4)) + logit(path) - logit(mean))))
+        assert abs(got[i].host_score - host) < 1e-6 and abs(got[i].path_score - path) < 1e-6 and abs(got[i].posterior - posterior) < 1e-6
 
 
 # 10
@@ -472,9 +560,31 @@ def test_html_head_without_an_end():
     assert " ".join(b.text for b in found).split() == list("axbcde")
 
 
+def test_html_names_that_conflict():
+    tree = html_text.fitted_tree()
+    rest = '<nav><a href="/">Home</a> <a href="/x">More</a></nav>{}<footer><p>All rights reserved</p></footer>'
+    words = "These are the words of a long enough paragraph that an article has, one after the other."
+    inner = f"<h1>A title</h1><p>{words}</p><p>{words}</p>"
+    for opening, closing in (
+        ('<article class="post comments-open">', "</article>"), ('<main class="site-main no-sidebar">', "</main>"), ('<div class="content has-sidebar">', "</div>"),
+        ('<article class="related post">', "</article>"), ('<div class="entry promo">', "</div>"),
+    ):
+        assert html_text.main_text(rest.format(opening + inner + closing), tree) == f"A title {words} {words}", opening
+    head = f"<header class=entry-header><h1>A title</h1></header><p>{words}</p><aside><p>{words}</p></aside><div class=sidebar-box><p>{words}</p></div>"
+    assert html_text.main_text(rest.format(f"<header><p>Site name and motto</p></header><article>{head}</article>"), tree) == f"A title {words}"
+
+
 def test_html_is_linear():
     import time
 
+    for piece in ("<div>x", "<div class=ad>x", "<div>x</p>", "<b class=ad>x</b>"):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            html_text.blocks(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.2, piece
+
     began = time.time()
     for piece in ("<a \"", "<p><div ", "<", "&#", "<!--", "</", "<script>"):
         html_text.main_text(piece * 30_000, html_text.fitted_tree())
