@@ -107,7 +107,7 @@ def ignored_quad(before: str, found: str) -> bool:
 def ignored_quad_expr(before: Column, found: Column) -> Column:
     left = F.lpad(F.substring(before, -8, 8), 8, " ")
     signs = functools.reduce(lambda x, y: x | y, [F.substring(left, at + 1, 8).contains(s) for at, group in VERSION_SIGNS.items() for s in group])
-    return left.rlike(r"[A-Za-z0-9.+-]$") | left.rlike(r"[0-9A-Fa-f]{3}\}$") | found.startswith("0.") | signs
+    return left.rlike(r"[A-Za-z0-9.+-]\z") | left.rlike(r"[0-9A-Fa-f]{3}\}\z") | found.startswith("0.") | signs
 
 
 def valid_phone(before: bytes, after: bytes) -> bool:
@@ -151,11 +151,16 @@ VIN_VALUES = dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", (1, 2, 3, 4, 5, 6, 7, 8, 1, 2,
 VIN_YEARS = "ABCDEFGHJKLMNPRSTVWXY123456789"
 
 
-def valid_vin(found: str) -> bool:
-    vin = found.upper()
-    if len(vin) != 17 or any(c not in VIN_VALUES for c in vin) or vin[9] not in VIN_YEARS or not vin[-4:].isdigit():
+def valid_vin(vin: str) -> bool:
+    """Capitals and digits with the right check digit, year and serial number, and no monotonous runs."""
+    if len(vin) != 17 or any(c not in VIN_VALUES for c in vin) or vin[0] == "0" or vin[9] not in VIN_YEARS:
         return False
-    if vin.isdigit() or vin.isalpha() or re.search(r"(.)\1{5}", vin):
+    if vin[9].isdigit() and not vin[11:].isdigit():
+        return False
+    if vin.isdigit() or re.search(r"(.)\1{4}", vin):
+        return False
+    steps = "".join("s" if abs(ord(b) - ord(a)) == 1 else "-" for a, b in zip(vin, vin[1:], strict=False))
+    if "s" * 6 in steps:
         return False
     rest = sum(w * VIN_VALUES[c] for w, c in zip(VIN_WEIGHTS, vin, strict=True)) % 11
     return vin[8] == ("X" if rest == 10 else str(rest))

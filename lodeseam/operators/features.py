@@ -7,6 +7,7 @@ count as blanks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,23 +26,42 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])"
 QUAD = rf"(?<![0-9A-Za-z.+-]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?![0-9.+A-Za-z_-])"
 ETHER = r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])"
 END = r"(?![0-9eE]|\.[0-9])"
-CARD = rf"(?<![0-9A-Za-z.])(?:[45][0-9]{{3}}[- ][0-9]{{4}}[- ][0-9]{{4}}[- ][0-9]{{4}}|3[0-9]{{3}}[- ][0-9]{{6}}[- ][0-9]{{5}}|[3-6][0-9]{{15,18}}|3[0-9]{{14}}){END}"
+# Number tables of page descriptions are no accounts: they are taken first, and dropped.
+EATEN = r"(?i:box ?\[[0-9 -]{0,40}\])|\[ ?(?:[0-9.-]{1,12} ){3}[0-9.-]{1,12} ?\]"
+CARD = (
+    rf"{EATEN}|(?<![0-9A-Za-z])(?:[0-9]{{4}}[- ]){{5}}"
+    rf"|(?<![0-9A-Za-z.])(?:[45][0-9]{{3}}[- ][0-9]{{4}}[- ][0-9]{{4}}[- ][0-9]{{4}}|3[0-9]{{3}}[- ][0-9]{{6}}[- ][0-9]{{5}}|[3-6][0-9]{{15,18}}|3[0-9]{{14}}){END}"
+)
 PHONE = (
-    rf"(?<![0-9A-Za-z])(?:\([0-9]{{3}}\)[ /.-]?[0-9]{{3}}[ /.-][0-9]{{4}}|[0-9]{{3}}[ /.-][0-9]{{3}}[ /.-][0-9]{{4}}|\+[0-9]{{1,3}}(?:[ /.-][0-9]{{2,3}}){{2,6}}[0-9]{{2,4}}){END}"
+    rf"{EATEN}|(?<![0-9A-Za-z])(?:\([0-9]{{3}}\)[ /.-]?[0-9]{{3}}[ /.-][0-9]{{4}}|[0-9]{{3}}[ /.-][0-9]{{3}}[ /.-][0-9]{{4}}|\+[0-9]{{1,3}}(?:[ /.-][0-9]{{2,3}}){{2,6}}[0-9]{{2,4}}){END}"
     r"|(?<=[ \t\n])\+[1-9][0-9]{10,18}(?![0-9])|(?<=[ \t\n])0[1-9][0-9]{9,15}(?![0-9])"
 )
-PREFIXED_PHONE = r"(?i)(?<![a-z])(?:tel[.ephon]*|fax|facsimile|DSN|telex|TTD|mobile|cell):?[0-9/ .+]{7,18}"
-PII = rf"(?i)ssn:?[ \t]*[0-9]{{3}}-?[0-9]{{2}}-?[0-9]{{4}}{END}|fedex[^a-z]+[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{END}|dob:?[ \t]+(?:(?:19[0-9]{{2}}|20[01][0-9])[-/][0-9a-z]{{1,9}}[-/][0-9]{{1,2}})|CT[.](?:Send|Receive)[.]CMD_[A-Z0-9_]{{4,25}} From=[0-9]{{2,12}}(?: To=[0-9]{{2,12}})?"
-SIN = rf"(?i)sin:?[ \t]*[0-9]{{3}}[ -]?[0-9]{{3}}[ -]?[0-9]{{3}}{END}|(?<![0-9])[0-9]{{3}}-[0-9]{{3}}-[0-9]{{3}}{END}"
+PREFIXED_PHONE = rf"{EATEN}|(?i:(?<![a-z])(?:tel[.ephon]*|fax|facsimile|DSN|telex|TTD|mobile|cell):?(?:[0-9 +]+ ?[(][0-9]{{2,4}}[)] ?[0-9-]{{4,8}}|[0-9/ .+]{{7,18}}))"
+PII = (
+    rf"{EATEN}|(?i:fedex[^a-z]+[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{END}|ssn:?[ \t]*[0-9]{{3}}-?[0-9]{{2}}-?[0-9]{{4}}{END}"
+    r"|dob:?[ \t]+(?:(?:19[0-9]{2}|20[01][0-9])[-/][0-9a-z]{1,9}[-/][0-9]{1,2}|[0-9]{1,2} [0-9a-z]{1,9} (?:19[0-9]{2}|20[01][0-9])|[a-z]{3,9} [0-9]{1,2}[, ]+(?:19[0-9]{2}|20[01][0-9]))"
+    r"|CT[.](?:Send|Receive)[.]CMD_[A-Z0-9_]{4,25} From=[0-9]{2,12}(?: To=[0-9]{2,12})?)"
+)
+SIN = rf"{EATEN}|(?i:sin:?[ \t]*[0-9]{{3}}[ -]?[0-9]{{3}}[ -]?[0-9]{{3}}{END})|(?<![0-9])[0-9]{{3}}-[0-9]{{3}}-[0-9]{{3}}{END}"
 TRACK2 = r"(?<![0-9A-Za-z])[4-6][0-9]{15,18}=[0-9]{2}[01][0-2]101[0-9]{13}"
-RFC822 = r"(?i)(?:Subject|Cookie):[ \t]?[\x20-\x7e]{1,80}|Host:[ \t]?[a-zA-Z0-9._]{1,64}|Message-ID:(?:[ \t\n]|\r\n)?<[\x20-\x7e]{1,80}>"
-HTTP_LOG = r"(?m)^[\x20-\x7e]{0,1024}(?:GET|POST|HEAD|PUT|DELETE|OPTIONS|CONNECT|TRACE|PATCH) [\x20-\x7e]{0,1024}$"
+RFC822 = (
+    r"(?i:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),[ \t\r\n]+[0-9]{1,2}[ \t\r\n]+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ \t\r\n]+(?:19[6-9][0-9]|20[01][0-9])[ \t\r\n]+"
+    r"[0-2][0-9]:[0-5][0-9]:[0-5][0-9][ \t\r\n]+(?:[+-][0-2][0-9][0314][05]|UT|GMT|[ECMP][SD]T|[ZAMNY])"
+    r"|Message-ID:(?:[ \t\n]|\r\n)?<[\x20-\x7e]{1,80}>|(?:Subject|Cookie):[ \t]?[\x20-\x7e]{1,80}|Host:[ \t]?[a-zA-Z0-9._]{1,64})"
+)
+LOG_METHOD = r"(?:GET|HEAD|POST|PUT|DELETE|TRACE|OPTIONS|CONNECT) "
+HTTP_LOG = rf"(?<![\x20-\x7e\r])[\x20-\x7e\r]{{0,1023}}?{LOG_METHOD}[\x20-\x7e\r]{{0,1024}}(?=\n)"
+LOG_QUAD = r"(?:(?<!/)[0-9]|[0-9][0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9.])"
 WORD = r"[\x21-\x7e]+"
-# Strings that mark pages of one social network.
+# Strings that mark pages of one social network, in the order in which they are looked for.
 SOCIAL = (
-    "facebook.com", "hovercard", "profile.php", "fbid=", "fbcdn", "timelineUnitContainer", "userContent", "friends_list", "/ajax/hovercard/", "ProfileTimeline",
-    "fbTimelineUnit", "pagelet_", "messenger", "OrderedFriendsListInitialData", "ChatOpenTabs",
+    "hovercard/page", "profile_owner", "actorDescription actorNames", "navAccountName", "renderedAuthorList", "pokesText", 'id="facebook.com"',
+    "OrderedFriendsListInitialData", "mobileFriends", "ShortProfiles", "bigPipe.onPageletArrive", "TimelineContentLoader",
+    "Facebook is a social utility that connects", "facebook.com/profile.php", "timelineUnitContainer",
 )
+SOCIAL_WINDOW = 4096
+#: Bytes at a buffer's end in which no mark is looked for, and that no window takes.
+SOCIAL_LAST, SOCIAL_END = 50, 10
 
 
 def _spans(text: Column, regex: str, needs: str | None = None) -> Column:
@@ -85,18 +105,20 @@ def ethers(text: Column) -> Column:
     return F.filter(_spans(text, ETHER, ":"), lambda x: V.valid_ether(x["feature"]))
 
 
+def _digits(text: Column, regex: str) -> Column:
+    """Matches, without what only is taken so that nothing in it is found."""
+    found = F.when(text.rlike("[0-9]{3}"), find_all(text, regex)).otherwise(F.array().cast("array<struct<offset:bigint,feature:string>>"))
+    return F.filter(found, lambda x: ~x["feature"].rlike(r"^(?:\[|(?i:box))"))
+
+
 def cards(text: Column) -> Column:
     sea = lambda c: c.rlike("^[0-9A-Fa-f]{4}$") & ~c.rlike("^[0-9]{4}$")
     return F.filter(
         _digits(text, CARD),
-        lambda x: V.card_digits_ok(X.digits(x["feature"])) & ~sea(_left(text, x["offset"], 4)) & ~sea(_right(text, x["offset"], x["feature"], 4)) & ~_left(text, x["offset"], 5).endswith("fbid="),
+        lambda x: (F.length(x["feature"]) <= 24) & V.card_digits_ok(X.digits(x["feature"])) & ~sea(_left(text, x["offset"], 4)) & ~sea(_right(text, x["offset"], x["feature"], 4)) & ~_left(text, x["offset"], 5).endswith("fbid="),
     )
 
 
-def _digits(text: Column, regex: str) -> Column:
-    return F.when(text.rlike("[0-9]{3}"), find_all(text, regex)).otherwise(F.array().cast("array<struct<offset:bigint,feature:string>>"))
-
-
 def phones(text: Column) -> Column:
     free = lambda x: x["feature"].startswith("(") | V.valid_phone_expr(_left(text, x["offset"], 8), _right(text, x["offset"], x["feature"], 9))
     plain = F.filter(_digits(text, PHONE), lambda x: free(x) & (F.length(X.digits(x["feature"])) >= 7))
@@ -127,10 +149,34 @@ def found(text: Column, patterns: list[str], ignore_case: bool = True) -> Column
     return _spans(text, ("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns))
 
 
-def social(text: Column, window: int = 4096) -> Column:
-    """The first mark in every `window` bytes."""
-    hits = _spans(text, "|".join(s.replace(".", r"\.") for s in SOCIAL))
-    return F.filter(hits, lambda x, i: (i == 0) | (F.floor(x["offset"] / window) != F.floor(F.element_at(hits, F.greatest(i, F.lit(1)))["offset"] / window)))
+def _places(spans: Column, mark: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(mark).alias("mark"), x["offset"].alias("at")))
+
+
+def social(text: Column) -> Column:
+    """Windows of SOCIAL_WINDOW bytes around marks: one mark after the other, each SOCIAL_WINDOW apart, none within half a
+    window of one found before. A mark at a text's first byte ends the search for it."""
+    raw = text.cast("binary")
+    size = F.length(raw).cast("long")
+    half = F.lit(SOCIAL_WINDOW // 2).cast("long")
+    hits = F.flatten(F.array(*[_places(_spans(text, re.escape(m), m), i) for i, m in enumerate(SOCIAL)]))
+    start = F.struct(F.lit(-1).alias("mark"), F.lit(0).cast("long").alias("free"), F.array().cast("array<bigint>").alias("taken"))
+
+    def step(a: Column, x: Column) -> Column:
+        free = F.when(a["mark"] == x["mark"], a["free"]).otherwise(F.lit(0).cast("long"))
+        over = (x["at"] < free) | (free + SOCIAL_LAST >= size) | (x["at"] < 1)
+        used = F.exists(a["taken"], lambda t: F.abs(t - x["at"]) < half)
+        next_free = F.when(x["at"] < 1, size).when(over, free).otherwise(x["at"] + SOCIAL_WINDOW + 1)
+        taken = F.when(over | used, a["taken"]).otherwise(F.concat(a["taken"], F.array(x["at"])))
+        return F.struct(x["mark"].alias("mark"), next_free.alias("free"), taken.alias("taken"))
+
+    def window(at: Column) -> Column:
+        begin = F.greatest(at - half, F.lit(0).cast("long"))
+        end = F.when(begin + SOCIAL_WINDOW + SOCIAL_END > size, size - SOCIAL_END).otherwise(begin + SOCIAL_WINDOW)
+        return F.struct(begin.alias("offset"), F.decode(F.substring(raw, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), "UTF-8").alias("feature"))
+
+    found = F.transform(F.aggregate(hits, start, step, lambda a: a["taken"]), window)
+    return F.when(text.rlike("|".join(map(re.escape, SOCIAL))), found).otherwise(F.array().cast("array<struct<offset:bigint,feature:string>>"))
 
 
 def simple(regex: str, needs: str | None = None) -> Callable[[Column], Column]:
@@ -145,10 +191,10 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "ccn": cards,
     "telephone": phones,
     "ccn_track2": lambda t: F.filter(_spans(t, TRACK2, "="), lambda x: V.card_digits_ok(F.substring(x["feature"], 1, 16))),
-    "pii": simple(PII),
-    "sin": simple(SIN),
+    "pii": lambda t: _digits(t, PII),
+    "sin": lambda t: _digits(t, SIN),
     "rfc822": simple(RFC822, ":"),
-    "httplogs": lambda t: F.filter(_spans(t, HTTP_LOG), lambda x: x["feature"].rlike(QUAD)),
+    "httplogs": lambda t: F.when(t.rlike(LOG_METHOD), F.filter(_spans(t, HTTP_LOG), lambda x: x["feature"].rlike(LOG_QUAD))).otherwise(F.array().cast("array<struct<offset:bigint,feature:string>>")),
     "facebook": social,
     "wordlist": words,
 }

@@ -331,41 +331,23 @@ def makestop_threshold(spark, sf_dir):
     return analytics.made_stop_list(_counts(spark, sf_dir), drives, 0.8)
 
 
-_OWN = f"(SELECT c.drive, c.feature, f.drives FROM {_COUNTS_SQL} c JOIN {_FREQ} f USING (feature) WHERE f.drives BETWEEN 2 AND 4)"
-
-
-@query(f"SELECT a.drive AS a, b.drive AS b, round(sum(1.0 / a.drives), 6) AS weight, count(*) AS shared FROM {_OWN} a JOIN {_OWN} b ON a.feature = b.feature AND a.drive < b.drive GROUP BY ALL")
-def source_correlation_idcor(spark, sf_dir):
-    return analytics.drive_pairs(_counts(spark, sf_dir), 4).withColumn("weight", F.round("weight", 6))
-
-
-@query(f"SELECT * FROM (SELECT a.drive AS a, b.drive AS b, CAST(row_number() OVER (PARTITION BY a.drive, b.drive ORDER BY a.drives, a.feature) AS INTEGER) AS rank, a.feature, a.drives FROM {_OWN} a JOIN {_OWN} b ON a.feature = b.feature AND a.drive < b.drive) WHERE rank <= 5")
-def correlation_factors(spark, sf_dir):
-    return analytics.factors(_counts(spark, sf_dir), 4)
-
-
-@query(f"SELECT c.drive AS other, round(sum(1.0 / f.drives), 6) AS weight FROM {_COUNTS_SQL} c JOIN (SELECT m.feature, q.drives FROM {_COUNTS_SQL} m JOIN {_FREQ} q USING (feature) WHERE m.drive = 'src1' AND q.drives <= 6) f USING (feature) WHERE c.drive <> 'src1' GROUP BY ALL")
-def drive_matches(spark, sf_dir):
-    return analytics.drive_matches(_counts(spark, sf_dir), "src1", 6, first_over=False).withColumn("weight", F.round("weight", 6))
-
-
-#: The three above with every shared feature, as the reference counts them.
+#: Every feature on two or more drives counts.
 _ALL = f"(SELECT c.drive, c.feature, f.drives FROM {_COUNTS_SQL} c JOIN {_FREQ} f USING (feature) WHERE f.drives >= 2)"
 _MINE = f"(SELECT m.feature, q.drives FROM {_COUNTS_SQL} m JOIN {_FREQ} q USING (feature) WHERE m.drive = 'src1')"
 
 
 @query(f"SELECT a.drive AS a, b.drive AS b, round(sum(1.0 / a.drives), 6) AS weight, count(*) AS shared FROM {_ALL} a JOIN {_ALL} b ON a.feature = b.feature AND a.drive < b.drive GROUP BY ALL")
-def source_correlation_whole(spark, sf_dir):
+def source_correlation_idcor(spark, sf_dir):
     return analytics.drive_pairs(_counts(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"SELECT * FROM (SELECT a.drive AS a, b.drive AS b, CAST(row_number() OVER (PARTITION BY a.drive, b.drive ORDER BY a.drives, a.feature) AS INTEGER) AS rank, a.feature, a.drives FROM {_ALL} a JOIN {_ALL} b ON a.feature = b.feature AND a.drive < b.drive) WHERE rank <= 5")
-def correlation_factors_whole(spark, sf_dir):
+def correlation_factors(spark, sf_dir):
     return analytics.factors(_counts(spark, sf_dir))
 
 
 @query(f"SELECT c.drive AS other, round(sum(1.0 / f.drives), 6) AS weight FROM {_COUNTS_SQL} c JOIN (SELECT feature, drives FROM {_MINE} WHERE drives <= 10 UNION ALL (SELECT feature, drives FROM {_MINE} WHERE drives > 10 ORDER BY drives, feature LIMIT 1)) f USING (feature) WHERE c.drive <> 'src1' GROUP BY ALL")
-def drive_matches_whole(spark, sf_dir):
+def drive_matches(spark, sf_dir):
     return analytics.drive_matches(_counts(spark, sf_dir), "src1").withColumn("weight", F.round("weight", 6))
 
 

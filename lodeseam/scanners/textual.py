@@ -3,25 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import json as _json
 import re
 from collections.abc import Iterator
 
 from ..functions import validators as V
-from ..operators.features import SOCIAL
+from ..operators import features as X
 from . import Found, Page, scanner
 
-# The features' patterns.
-_EMAIL = re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{1,62}[A-Za-z0-9]@[A-Za-z0-9][A-Za-z0-9._%-]{1,250}\.[A-Za-z0-9][A-Za-z0-9-]{0,61}[A-Za-z0-9](?![A-Za-z0-9._%-])")
-_URL = re.compile(rb"(?i:https?|afp|smb)://[a-zA-Z0-9_%/+@:=&?#~.;-]{1,384}")
-_OCTET = rb"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])"
-_QUAD = re.compile(rb"(?<![0-9A-Za-z.+-])" + rb"\.".join([_OCTET] * 4) + rb"(?![0-9.+A-Za-z_-])")
-_ETHER = re.compile(rb"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])")
-_RFC822 = re.compile(
-    rb"(?i)(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),[ \t\r\n]+[0-9]{1,2}[ \t\r\n]+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ \t\r\n]+(?:19[6-9][0-9]|20[01][0-9])[ \t\r\n]+"
-    rb"[0-2][0-9]:[0-5][0-9]:[0-5][0-9][ \t\r\n]+(?:[+-][0-2][0-9][0314][05]|UT|GMT|[ECMP][SD]T|[ZAMNY])"
-    rb"|Message-ID:(?:[ \t\n]|\r\n)?<[\x20-\x7e]{1,80}>|(?:Subject|Cookie):[ \t]?[\x20-\x7e]{1,80}|Host:[ \t]?[a-zA-Z0-9._]{1,64}"
-)
+_EMAIL, _URL, _QUAD, _ETHER, _RFC822 = (re.compile(p.encode()) for p in (X.EMAIL, X.URL, X.QUAD, X.ETHER, X.RFC822))
 _DOTTED = re.compile(rb"[0-9]\.[0-9]")
 _WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){6,}")
 
@@ -76,37 +65,28 @@ def email(page: Page) -> Iterator[Found]:
             yield Found(recorder, run.start() + 2 * at, feature, 2 * len(feature), utf16=True)
 
 
-_END = rb"(?![0-9eE]|\.[0-9])"
-_CARD = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9]{4}[- ]){5}|(?<![0-9A-Za-z.])(?:[45][0-9]{3}(?:[- ][0-9]{4}){3}|3[0-9]{3}[- ][0-9]{6}[- ][0-9]{5}|[3-6][0-9]{15,18}|3[0-9]{14})" + _END)
-_TRACK2 = re.compile(rb"(?<![0-9A-Za-z])[4-6][0-9]{15,18}=[0-9]{2}[01][0-2]101[0-9]{13}")
-_PHONE = re.compile(
-    rb"(?<![0-9A-Za-z])(?:\([0-9]{3}\)[ /.-]?[0-9]{3}[ /.-][0-9]{4}|[0-9]{3}[ /.-][0-9]{3}[ /.-][0-9]{4}|\+[0-9]{1,3}(?:[ /.-][0-9]{2,3}){2,6}[0-9]{2,4})" + _END
-    + rb"|(?<=[ \t\n])\+[1-9][0-9]{10,18}(?![0-9])|(?<=[ \t\n])0[1-9][0-9]{9,15}(?![0-9])"
-)
-_PREFIXED = re.compile(rb"(?i)(?<![a-z])(?:tel[.ephon]*|fax|facsimile|DSN|telex|TTD|mobile|cell):?(?:[0-9 +]+ ?[(][0-9]{2,4}[)] ?[0-9-]{4,8}|[0-9/ .+]{7,18})")
+_CARD, _TRACK2, _PHONE, _PREFIXED, _PII, _SIN = (re.compile(p.encode()) for p in (X.CARD, X.TRACK2, X.PHONE, X.PREFIXED_PHONE, X.PII, X.SIN))
+_END = X.END.encode()
 _LOCK = re.compile(rb"(?<![0-9])(?:[0-9]{6}-){7}[0-9]{6}(?=[\r\n])")
 _WIDE_LOCK = re.compile(rb"(?:(?:[0-9]\x00){6}-\x00){7}(?:[0-9]\x00){6}")
-_PII = re.compile(
-    rb"(?i)fedex[^a-z]+[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]" + _END + rb"|ssn:?[ \t]*[0-9]{3}-?[0-9]{2}-?[0-9]{4}" + _END
-    + rb"|dob:?[ \t]+(?:(?:19[0-9]{2}|20[01][0-9])[-/][0-9a-z]{1,9}[-/][0-9]{1,2}|[0-9]{1,2} [0-9a-z]{1,9} (?:19[0-9]{2}|20[01][0-9])|[a-z]{3,9} [0-9]{1,2}[, ]+(?:19[0-9]{2}|20[01][0-9]))"
-    + rb"|CT[.](?:Send|Receive)[.]CMD_[A-Z0-9_]{4,25} From=[0-9]{2,12}(?: To=[0-9]{2,12})?"
-)
 _DASHED_SSN = re.compile(rb"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END)
 _BARE_SSN = re.compile(rb"(?<![0-9])[0-9]{9}" + _END)
-_SIN = re.compile(rb"(?i)sin:?[ \t]*[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}" + _END + rb"|(?<![0-9])[0-9]{3}-[0-9]{3}-[0-9]{3}" + _END)
 _BITCOIN = re.compile(rb"(?<![0-9A-Za-z])[13][1-9A-HJ-NP-Za-km-z]{27,34}(?![1-9A-HJ-NP-Za-km-z])")
 _NUMBER = re.compile(rb"[0-9][0-9\0 ./+-]{2}|[13][1-9A-HJ-NP-Za-km-z]{27}")
-_BOX = re.compile(rb"(?i)box ?\[[0-9 -]{0,40}\]|\[ ?(?:[0-9.-]{1,12} ){3}[0-9.-]{1,12} ?\]")
+
+
+def _kept(pattern: re.Pattern, buf: bytes) -> Iterator[re.Match]:
+    """Matches, without what only is taken so that nothing in it is found."""
+    return (m for m in pattern.finditer(buf) if m.group()[:1] not in (b"[", b"b", b"B"))
 
 
 @scanner("accts")
 def accounts(page: Page) -> Iterator[Found]:
     """Card numbers, track 2, phones, identity numbers, parcels, birthdays, coins and recovery keys."""
-    # Number tables of page descriptions are no accounts.
-    if not _NUMBER.search(page.buf):
+    buf = page.buf
+    if not _NUMBER.search(buf):
         return
-    buf = _BOX.sub(lambda m: b"[" * len(m.group()), page.buf)
-    for m in _CARD.finditer(buf):
+    for m in _kept(_CARD, buf):
         found, at = m.group().decode(), m.start()
         if len(found) > 24 or buf[max(0, at - 5) : at] == b"fbid=":
             continue
@@ -116,44 +96,43 @@ def accounts(page: Page) -> Iterator[Found]:
         if V.valid_card(m.group()[:16].decode()):
             yield Found("ccn_track2", m.start(), m.group())
     least = page.options.get("min_phone_digits", 7)
-    for m in _PHONE.finditer(buf):
+    for m in _kept(_PHONE, buf):
         if sum(48 <= c <= 57 for c in m.group()) >= least and (m.group()[:1] == b"(" or V.valid_phone(buf[max(0, m.start() - 8) : m.start()], buf[m.end() : m.end() + 9])):
             yield Found("telephone", m.start(), m.group())
-    for m in _PREFIXED.finditer(buf):
+    for m in _kept(_PREFIXED, buf):
         yield Found("telephone", m.start(), m.group())
     for m in _LOCK.finditer(buf):
         yield Found("alerts", m.start(), m.group(), context="Possible BitLocker Recovery Key (ASCII).")
     for m in _WIDE_LOCK.finditer(buf):
         yield Found("alerts", m.start(), m.group()[::2], len(m.group()), "Possible BitLocker Recovery Key (UTF-16)", True)
-    for m in _PII.finditer(buf):
+    for m in _kept(_PII, buf):
         yield Found("pii", m.start(), m.group())
     mode = page.options.get("ssn_mode", 0)
     for pattern in (_DASHED_SSN, _BARE_SSN)[:mode]:
         for m in pattern.finditer(buf):
             yield Found("pii", m.start(), m.group())
-    for m in _SIN.finditer(buf):
+    for m in _kept(_SIN, buf):
         yield Found("sin", m.start(), m.group())
     for m in _BITCOIN.finditer(buf):
         if V.valid_bitcoin(m.group().decode()):
             yield Found("pii", m.start(), m.group())
 
 
-_VIN = re.compile(rb"(?i)(?<![A-Z0-9])[A-HJ-NPR-Z0-9]{8}[0-9X][A-HJ-NPR-Z0-9]{4}[0-9]{4}(?![A-Z0-9])")
-_CAR = re.compile(rb"(?i)\b(?:vin|vehicle|auto|automobile|car|truck|motor|dealer|odometer|chassis|registration|license plate|engine|model year|make|mileage)\b")
+# What may stand around a vehicle identification number, and words that may stand right before one.
+_DELIMITER = rb"[ \t\r\n:,;|\"'(){}\[\]<>#.!?]"
+_VIN = re.compile(rb"[0-9A-HJ-NPR-Z]{17}(?=" + _DELIMITER + rb"|\Z)")
+_VIN_WORDS = re.compile(rb"(?i)(?:\A|" + _DELIMITER + rb"|(?:VIN|V\.I\.N\.|vehicle *id(?:entification)? *number|make|model|year|chassis|frame|serial)[ #:]*)\Z")
 
 
 @scanner("vehicle")
 def vehicle(page: Page) -> Iterator[Found]:
-    """Vehicle identification numbers: with a prefix, or near words on vehicles, never inside hexadecimal runs."""
+    """Vehicle identification numbers: between delimiters, or right after a word that announces one.
+
+    Words on cars nearby decide only between hexadecimal neighbours, which delimiters rule out, so they are not looked for.
+    """
     buf = page.buf
     for m in _VIN.finditer(buf):
-        vin = m.group().decode().upper()
-        if not V.valid_vin(vin):
-            continue
-        before, after = buf[max(0, m.start() - 200) : m.start()], buf[m.end() : m.end() + 200]
-        if re.search(rb"[0-9A-Fa-f]{8}[^\w]?\Z", before) and re.match(rb"[^\w]?[0-9A-Fa-f]{8}", after):
-            continue
-        if re.search(rb"(?i)vin[\"' :#=]*\Z", before[-12:]) or _CAR.search(before) or _CAR.search(after):
+        if _VIN_WORDS.search(buf[max(0, m.start() - 64) : m.start()]) and V.valid_vin(m.group().decode()):
             yield Found("vin", m.start(), m.group())
 
 
@@ -185,54 +164,118 @@ def gps(page: Page) -> Iterator[Found]:
         yield row()
 
 
-_LOG_METHOD = re.compile(rb"(?:GET|POST|HEAD|PUT|DELETE|OPTIONS|CONNECT|TRACE|PATCH|PROPFIND|MKCOL|SEARCH|REPORT) ")
+_LOG, _LOG_METHOD, _LOG_QUAD = (re.compile(p.encode()) for p in (X.HTTP_LOG, X.LOG_METHOD, X.LOG_QUAD))
 
 
 @scanner("httplogs")
 def http_logs(page: Page) -> Iterator[Found]:
     """Lines of access logs: printable, with a method and a dotted quad."""
-    buf, last = page.buf, -1
-    for m in _LOG_METHOD.finditer(buf):
-        if m.start() < last:
-            continue
-        start = m.start()
-        while start > 0 and m.start() - start < 1024 and 0x20 <= buf[start - 1] < 0x7F:
-            start -= 1
-        end = m.end()
-        while end < len(buf) and end - m.end() < 1024 and 0x20 <= buf[end] < 0x7F:
-            end += 1
-        line = buf[start:end]
-        if _QUAD.search(line):
-            yield Found("httplogs", start, line)
-            last = end
+    if _LOG_METHOD.search(page.buf):
+        for m in _LOG.finditer(page.buf):
+            if _LOG_QUAD.search(m.group()):
+                yield Found("httplogs", m.start(), m.group())
+
+
+_OPENING = re.compile(rb"[\[{](?=[0-9.\-{\[ \t\n\r\"])")
+_TOKEN = re.compile(
+    rb"[ \t\r\n]*+(?:(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9A-Fa-f]{4}))*+\")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)|([\[{\]},:]))"
+)
+JSON_DEPTH = 255
+# What may follow: any value; a value or the end of an array; a key or the end of an object; a key; a colon; a comma or an end.
+_VALUE, _FIRST, _KEY_OR_END, _KEY, _COLON, _AFTER = range(6)
+
+
+def json_values(buf: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(start, end, commas) of outermost valid objects and arrays, in one pass.
+
+    Where a value breaks off, the values that ended inside it count, as do those inside its strings, and reading goes on
+    from the break; nothing before it is read again but strings. Values deeper than JSON_DEPTH begin further in.
+    """
+    end = len(buf) if end is None else end
+    while opening := _OPENING.search(buf, at, end):
+        at = opening.start()
+        stack: list[tuple[int, bool, int]] = []  # start, whether an object, commas before
+        done: list[tuple[int, int, int]] = []
+        texts: list[tuple[int, int]] = []
+        state, commas, resume = _VALUE, 0, None
+        while resume is None:
+            m = _TOKEN.match(buf, at, end)
+            if m is None:
+                resume = at
+                break
+            text, plain, mark = m.groups()
+            here, at = m.end() - len(text or plain or mark), m.end()
+            if text is not None and state in (_KEY, _KEY_OR_END):
+                state = _COLON
+                texts.append((here + 1, at - 1))
+            elif mark is None and state in (_VALUE, _FIRST):
+                state = _AFTER
+                if text is not None:
+                    texts.append((here + 1, at - 1))
+            elif mark in (b"[", b"{") and state in (_VALUE, _FIRST):
+                if len(stack) == JSON_DEPTH:
+                    resume = stack[1][0]
+                    break
+                stack.append((here, mark == b"{", commas))
+                state = _KEY_OR_END if mark == b"{" else _FIRST
+            elif mark == b":" and state == _COLON:
+                state = _VALUE
+            elif mark == b"," and state == _AFTER:
+                commas += 1
+                state = _KEY if stack[-1][1] else _VALUE
+            elif mark in (b"]", b"}") and stack[-1][1] == (mark == b"}") and (state == _AFTER or state == (_KEY_OR_END if mark == b"}" else _FIRST)):
+                start, _, before = stack.pop()
+                while done and done[-1][0] > start:
+                    done.pop()
+                done.append((start, at, commas - before))
+                state = _AFTER
+                if not stack:
+                    resume = at
+            else:
+                resume = here
+        if stack:
+            held = sorted(done + [(a, b, -1) for a, b in texts if b - a > 4])
+            last = 0
+            for a, b, n in held:
+                if a < last or a >= resume:
+                    continue
+                if n >= 0:
+                    if _OPENING.match(buf, a):
+                        yield a, b, n
+                        last = b
+                elif _OPENING.search(buf, a, b):
+                    yield from json_values(buf, a, b)
+        else:
+            yield from done
+        at = max(resume, opening.start() + 1)
 
 
 @scanner("json")
 def json(page: Page) -> Iterator[Found]:
-    """Objects and arrays of valid JSON with two commas at least; the context is their SHA-1."""
-    text = page.buf.decode("latin-1")
-    read, at = _json.JSONDecoder(), 0
-    opening = re.compile(r"[\[{](?=[\s\"\[{\]}0-9tfn-])")
-    while m := opening.search(text, at):
-        try:
-            _, end = read.raw_decode(text, m.start())
-        except (ValueError, RecursionError):
-            at = m.start() + 1
-            continue
-        found = page.buf[m.start() : end]
-        if found.count(b",") >= 2:
-            yield Found("json", m.start(), found, context=hashlib.sha1(found).hexdigest())
-        at = end
+    """Valid objects and arrays with two commas at least; the context is their SHA-1."""
+    for start, end, commas in json_values(page.buf):
+        if commas >= 2:
+            found = page.buf[start:end]
+            yield Found("json", start, found, context=hashlib.sha1(found).hexdigest())
 
 
 @scanner("facebook")
 def social(page: Page) -> Iterator[Found]:
-    """Marks of one social network, once in every 4096 bytes, with what stands around them."""
-    marks, free = re.compile(b"|".join(re.escape(s.encode()) for s in SOCIAL)), 0
-    for m in marks.finditer(page.buf):
-        if m.start() >= free:
-            yield Found("facebook", m.start(), page.buf[max(0, m.start() - 64) : m.end() + 192])
-            free = m.start() + 4096
+    """Windows around marks of one social network, as operators.features.social has them."""
+    buf, taken, half = page.buf, [], X.SOCIAL_WINDOW // 2
+    for mark in X.SOCIAL:
+        free = 0
+        while free + X.SOCIAL_LAST < len(buf):
+            at = buf.find(mark.encode(), free)
+            if at < 1:
+                break
+            free = at + X.SOCIAL_WINDOW + 1
+            if any(abs(t - at) < half for t in taken):
+                continue
+            taken.append(at)
+            begin = max(0, at - half)
+            end = begin + X.SOCIAL_WINDOW
+            yield Found("facebook", begin, buf[begin : end if end + X.SOCIAL_END <= len(buf) else len(buf) - X.SOCIAL_END])
 
 
 @scanner("find", default=False)

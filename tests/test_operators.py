@@ -198,9 +198,35 @@ def test_streams(spark, tmp_path):
     assert seen == ["abc@example.com"]
 
 
-def test_social_marks(spark):
-    df = spark.createDataFrame([("x facebook.com y fbid=3 " + "." * 5000 + "facebook.com",)], "t string")
-    assert [r.offset for r in features.extract(df, "t", ["facebook"], []).collect()] == [2, 5024]
+def test_both_paths_find_the_same(spark):
+    """The native extractors and the byte scanners over one corpus."""
+    from lodeseam.plans.scan import Options, scan
+    from lodeseam.sources.images import from_column
+
+    log = '10.0.0.7 - - "GET /x HTTP/1.1" 200'
+    texts = [
+        "x" * 40 + "pokesText" + "." * 3000 + "pokesText" + "." * 1500 + "hovercard/page" + "." * 9000 + "pokesText and more " * 20,
+        "pokesText at the first byte, then later pokesText" + "." * 200, "." * 100 + "mobileFriends", "", None,
+        f"{log}\nno address GET / x\n/10.0.0.7 PUT /1.2.3.4 y\n{log.replace('GET', 'PATCH')}\n" + "z" * 1100 + f"{log}\n{log} no end",
+        "Date: Mon, 02 Jan 2012 10:11:12 +0100 then Subject: hello\nHost: a.b.c Message-ID: <x@y>\nCookie: z",
+        "fax: 0 (12) 345-678 tel: 030 1234567 call (215) 555-1212 or 215-555-1213. +49 30 12 34 56 78",
+        "[ 100.5 200 3712 345678 ] box [123 456 7890] 4485 1684 1144 0732 4485 1684 1144 0732 1234 5678 9012 3456 7890",
+        "ssn: 123-45-6789 dob: 2001-02-03 DOB 3 May 1980 dob: June 4, 1999 fedex 1234 5678 9 sin 123 456 789 SIN: 123-456-789",
+        "a@example.com b.c@mail.example.org http://www.example.com/?q=1&quot; 10.1.2.3 00:1a:2b:3c:4d:5e 4532015112830366 fbid=4532015112830366",
+    ]
+    rows = [*enumerate(texts), *[(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]]
+    df = spark.createDataFrame(rows, "k long, t string")
+    names = ["email", "url", "domain", "ether", "ccn", "telephone", "ccn_track2", "pii", "sin", "rfc822", "httplogs", "facebook"]
+    native = {(r.k, r.recorder, r.offset, r.feature) for r in features.extract(df, "t", names, ["k"]).collect()}
+    scanned = scan(from_column(df, "t", "k"), Options(only=("email", "accts", "httplogs", "facebook"))).where("kind = 'feature' AND NOT is_utf16")
+    found = {(int(r.source), r.recorder, r.offset, r.feature) for r in scanned.collect() if r.recorder in names}
+    escaped = {x for x in native | found if "\\" in x[3] or "\r" in x[3] or "\n" in x[3]}
+    bitcoin = {x for x in found if x[1] == "pii" and x[3][0] in "13" and x[3].isalnum()}
+    assert native - escaped == found - escaped - bitcoin
+    marks = sorted((x[0], x[2], len(x[3])) for x in native if x[1] == "facebook")
+    assert marks == [(0, 0, 4096), (0, 2510, 4096), (0, 11524, 2418), (2, 0, 103)]
+    # An address counts from its second digit on where a slash stands before the first.
+    assert sum(x[1] == "httplogs" for x in native) == 2 and {"telephone", "ccn", "pii", "sin", "rfc822", "ether"} <= {x[1] for x in native}
 
 
 def test_run_report_and_restart(spark, tmp_path):

@@ -89,6 +89,14 @@ def test_vin():
     assert S.textual.V.valid_vin("1M8GDM9AXKP042788")
     assert not S.textual.V.valid_vin("1M8GDM9AXKP042789")
     assert of(run(b"the vehicle VIN: 1M8GDM9AXKP042788 was sold"), "vin") == [("17", "1M8GDM9AXKP042788")]
+    assert of(run(b"serial#1M8GDM9AXKP042788, x1M8GDM9AXKP042788 (1M8GDM9AXKP042788) 1m8gdm9axkp042788 1M8GDM9AXKP042788z"), "vin") == [("7", "1M8GDM9AXKP042788"), ("46", "1M8GDM9AXKP042788")]
+
+    def with_check(vin):
+        return next(v for c in "0123456789X" if S.textual.V.valid_vin(v := vin[:8] + c + vin[9:]) or c == "X")
+
+    assert S.textual.V.valid_vin(with_check("1M8GDM9A0KP04278A")) and not S.textual.V.valid_vin(with_check("1M8GDM9A04P04278A"))
+    assert not S.textual.V.valid_vin(with_check("0M8GDM9A0KP042788")) and not S.textual.V.valid_vin(with_check("1M8GDM9A0KP011111"))
+    assert not S.textual.V.valid_vin(with_check("1M8GDM9A0K1234567")) and not S.textual.V.valid_vin("1m8gdm9axkp042788")
 
 
 def test_bitcoin():
@@ -101,6 +109,34 @@ def test_json_needs_commas():
     assert rows == [("5", '{"a": 1, "b": [2, 3]}')]
 
 
+def test_json_values():
+    import json
+    import random
+    import time
+
+    values = lambda raw: [raw[a:b] for a, b, n in S.textual.json_values(raw) if n >= 2]
+    assert values(b'[true, 1, 2] [1, true, 2] {"a": [1,2,3], "b" [4,5,6] x "[7,8,9" ["\\q", 1, [1,2,3]') == [b"[1, true, 2]", b"[1,2,3]", b"[4,5,6]", b"[1,2,3]"]
+    assert values(b'{"k": "x [1,2,3] y", oops') == [b"[1,2,3]"] and values(b"[01,2,3]") == values(b'{"a":1,}') == []
+    deep = b"[" * 300 + b"1,2,3" + b"]" * 300
+    assert values(deep) == [b"[" * 255 + b"1,2,3" + b"]" * 255]
+    rnd = random.Random(3)
+
+    def made(d):
+        kind = rnd.randrange(7 if d else 5)
+        return [1, -2.5e3, "a\\u00e9 \"[", True, None][kind] if kind < 5 else [made(d - 1) for _ in range(rnd.randrange(5))] if kind == 5 else {f"k{i}": made(d - 1) for i in range(rnd.randrange(4))}
+
+    for _ in range(200):
+        whole = json.dumps([1, made(4), made(4)]).encode()
+        assert values(b"xx " + whole + b"]") == [whole]
+    for piece in (b'{"a":[1,2,', b"[", b'{"a', b'["', b"[1,", b'{"a":"[1,2,3]",'):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            list(S.textual.json_values(piece * (n // len(piece))))
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, piece
+
+
 def test_gps():
     xml = b'<gpx><trkpt lat="1.5" lon="2.5"><ele>10</ele><time>2011-01-01T00:00:00Z</time></trkpt><trkpt lat="3" lon="4"></trkpt></gpx>'
     assert [f for _, f in of(run(xml), "gps")] == ["2011-01-01T00:00:00Z,1.5,2.5,10,,", ",3,4,,,"]
