@@ -10,26 +10,8 @@ from pyspark.sql import functions as F
 
 def octal_escaped(raw: bytes, backslash: bool = True) -> str:
     """Valid UTF-8 as it is; control characters, other bytes and (if wanted) backslashes as \\ooo."""
-    out = []
-    for part in re.split(rb"([\x00-\x1f\\]+)", raw):
-        if part and (part[0] < 0x20 or part[0] == 0x5C):
-            out += [f"\\{b:03o}" if b < 0x20 or backslash else chr(b) for b in part]
-        else:
-            out.append(part.decode("utf-8", "octal"))
-    return "".join(out)
-
-
-def _octal(error: UnicodeDecodeError) -> tuple[str, int]:
-    return "".join(f"\\{b:03o}" for b in error.object[error.start : error.end]), error.end
-
-
-def _register() -> None:
-    import codecs
-
-    codecs.register_error("octal", _octal)
-
-
-_register()
+    text = raw.decode("utf-8", "surrogateescape")
+    return re.sub("[\x00-\x1f\\\\\udc80-\udcff]" if backslash else "[\x00-\x1f\udc80-\udcff]", lambda m: f"\\{ord(m.group()) & 0xFF:03o}", text)
 
 
 def octal_unescaped(text: str) -> bytes:
@@ -155,5 +137,5 @@ def hex_dump(raw: bytes, start: int = 0, width: int = 16) -> str:
     for i in range(0, len(raw), width):
         part = raw[i : i + width]
         shown = "".join(chr(b) if 0x20 <= b < 0x7F else "." for b in part)
-        lines.append(f"{start + i:04x}: {part.hex(' ', 2):<{width * 2 + width // 2}} {shown}")
+        lines.append(f"{start + i:04x}: {part.hex(' ', -2):<{width * 2 + width // 2}} {shown}")
     return "\n".join(lines)
