@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, texts, written
+from .common import chunks, deleted, texts, written
 from .components import components
 from .setsketch import REGISTERS, ROWS, at_least, mix, sketches
 
@@ -180,7 +180,9 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
 
     named = kept.mapInArrow(run, "node long, text string")
-    return written(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "fetched")
+    out = written(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "fetched")
+    deleted(rows)
+    return out
 
 
 def _across(groups: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -277,7 +279,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, f"{name}_pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return written(_confirmed(pairs, _fetched(docs, signed, nodes, size), percent, size), name)
+        fetched = _fetched(docs, signed, nodes, size)
+        out = written(_confirmed(pairs, fetched, percent, size), name)
+        deleted(pairs, fetched)
+        return out
 
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(_plausible(stars, classes, percent), "stars")
@@ -286,13 +291,16 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
         placed = shared.select("band", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
         rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node")
-        more = confirmed(_across(written(rest, "rest"), percent, every), "more")
+        rest = written(rest, "rest")
+        more = confirmed(_across(rest, percent, every), "more")
+        deleted(rest)
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
     by_node = written(named.join(labels, "root").select("node", "root", "component_id"), "labels")
+    deleted(classes, shared)
     out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import boosted, calibrated, value
-from .common import chunks, labelled, shipped, texts, written
+from .common import chunks, deleted, labelled, shipped, texts, written
 from .quality_rules import base_counts
 
 SAMPLE = 2000
@@ -139,6 +139,7 @@ def sites(scored: DataFrame, host: str = "source", path: str = "lang") -> tuple[
     named = hosts.select(F.col("host").alias("own_host"), "hn", "hs")
     both = written(sums.join(named, F.col("host").eqNullSafe(F.col("own_host"))).select("host", "path", "n", "s", "hn", "hs"), "posteriors")
     kp = weight(both, "n", "s", Prior(mean, kh, 1.0).host_score(F.col("hn"), F.col("hs")), both.count())
+    deleted(sums)
     return both, Prior(mean, kh, kp)
 
 

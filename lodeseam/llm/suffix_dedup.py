@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts, written
+from .common import chunks, deleted, texts, written
 from .interleave import Shard, merge
 from .window_keys import SIZE, keyed_runs
 
@@ -384,6 +384,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         fetched = written(_fetched(keyed, lists, found.where("key IS NOT NULL")), "fetched")
         equal = _all_equal(fetched)
         seed += 1
+        deleted(found)
+        if not equal:
+            deleted(lists, fetched)
     contexts = fetched.where("kind = 0").select("key", "doc", "tie", "at", "raw").repartition(parts, "key").sortWithinPartitions("key")
     more = _lists(_resolved(contexts).select("doc", "tie", "s", "e", "src", "stie", "ss"))
     both = lists.select("doc", "tie", "spans").unionByName(more.select("doc", "tie", "spans"))
@@ -397,7 +400,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(out, pa.binary())], names=["doc", "tie", "spans"])
 
     merged = both.groupBy("doc", "tie").agg(F.collect_list("spans").alias("spans"))
-    return written(merged.mapInArrow(run, "doc long, tie long, spans binary"), "repeats")
+    out = written(merged.mapInArrow(run, "doc long, tie long, spans binary"), "repeats")
+    deleted(lists, fetched)
+    return out
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
