@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lists of up to so many rows are broadcast, and patterns joined row by row; larger literal lists are joined by shuffle.
+#: Lists of up to so many rows are broadcast; larger literal lists are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Patterns that a list may hold, and those that are joined to one alternation.
+PATTERNS, ALTERNATIVES = 500, 50
 
 LIST = "feature string, before string, after string, is_regex boolean"
 
@@ -38,17 +42,17 @@ def _joined(features: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     """
     exact = listed.where("NOT is_regex").select(F.col("feature").alias("__f"), F.col("before").alias("__b"), F.col("after").alias("__a")).distinct()
     exact = F.broadcast(exact) if exact.count() <= BROADCAST_ROWS else exact
-    patterns = listed.where("is_regex").select("feature").distinct().limit(BROADCAST_ROWS + 1).collect()
-    if len(patterns) > BROADCAST_ROWS:
-        raise ValueError("too many patterns in a list")
+    patterns = [r.feature for r in listed.where("is_regex").select("feature").distinct().orderBy("feature").limit(PATTERNS + 1).collect()]
+    if len(patterns) > PATTERNS:
+        raise ValueError(f"a list holds more than {PATTERNS} patterns")
     context = F.col("context") if "context" in features.columns else F.col("feature")
     at = F.instr(context, F.col("feature"))
     left, right = F.substring(context, F.lit(1), at - 1), F.substring(context, at + F.length("feature"), F.length(context))
     n, m = F.least(F.length(left), F.length("__b")), F.least(F.length(right), F.length("__a"))
     agrees = (F.right(left, n) == F.right(F.col("__b"), n)) & (F.left(right, m) == F.left(F.col("__a"), m))
-    row = features.withColumn("__hit", F.lit(False))
-    for p in patterns:
-        row = row.withColumn("__hit", F.col("__hit") | F.col("feature").rlike("(?i)" + p.feature))
+    alternations = ["(?i)" + "|".join(f"(?:{p})" for p in patterns[i : i + ALTERNATIVES]) for i in range(0, len(patterns), ALTERNATIVES)]
+    hit = functools.reduce(lambda a, b: a | b, [F.col("feature").rlike(p) for p in alternations], F.lit(False))
+    row = features.withColumn("__hit", F.coalesce(hit, F.lit(False)))
     by_pattern, plain = row.where("__hit").drop("__hit"), row.where("NOT __hit").drop("__hit")
     joined = plain.join(exact, (F.col("feature") == F.col("__f")) & agrees, how)
     return joined.unionByName(by_pattern) if how == "left_semi" and patterns else joined

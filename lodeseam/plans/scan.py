@@ -23,6 +23,7 @@ from ..operators import duplicates as repeats
 from ..operators import histograms, lists
 from ..operators.pages import MAX_DEPTH, MAX_NGRAM
 from ..scanners import Carved, Child, Found, Page
+from ..sources import sinks
 
 ROWS = (
     "kind string, recorder string, source string, path string, offset bigint, pos0 string, feature string, context string, "
@@ -146,38 +147,44 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Report:
-    """What a scan gives: features after the lists, histograms, carved objects, alerts, duplicates."""
-
-    features: DataFrame
-    histograms: DataFrame
-    carved: DataFrame
-    alerts: DataFrame
-    duplicates: DataFrame
-
-    def write(self, folder: str, lines: bool = False) -> None:
-        """One Parquet table a part, features and histograms by recorder; with lines also as report lines."""
-        self.features.write.partitionBy("recorder").mode("overwrite").parquet(f"{folder}/features")
-        self.histograms.write.mode("overwrite").parquet(f"{folder}/histograms")
-        self.carved.write.mode("overwrite").parquet(f"{folder}/carved")
-        self.alerts.write.mode("overwrite").parquet(f"{folder}/alerts")
-        self.duplicates.write.mode("overwrite").parquet(f"{folder}/duplicates")
+    """What a scan gives: features after the lists, histograms, carved objects, alerts, duplicates, made of its rows."""
+
+    rows: DataFrame
+    stop: DataFrame | None = None
+    alert: DataFrame | None = None
+    dedupe: bool = False
+
+    def __post_init__(self) -> None:
+        own = first_places(self.rows) if self.dedupe else self.rows
+        found = own.where("kind IN ('feature', 'carved')").select("recorder", "source", "path", "offset", "pos0", "feature", "context", "is_utf16")
+        self.features = lists.applied(found, self.stop, self.alert)
+        self.histograms = histograms.histograms(self.features.where("recorder NOT LIKE '%!_stopped' ESCAPE '!'"))
+        self.carved = own.where("kind = 'carved'").select("recorder", "pos0", F.col("feature").alias("rel_path"), F.octet_length("data").cast("long").alias("size"), "hash", "data")
+        self.alerts = own.where("kind = 'alert'").select("source", "pos0", "feature", "context")
+        self.duplicates = duplicates(self.rows)
+
+    def write(self, folder: str, lines: bool = False) -> Report:
+        """One Parquet table a part, features and histograms by recorder; with lines also as report lines.
+
+        The pages are scanned once: the rows go to `scan`, by kind, and all parts are made of what is read back.
+        """
+        spark = self.rows.sparkSession
+        self.rows.write.partitionBy("kind").mode("overwrite").parquet(f"{folder}/scan")
+        stored = Report(spark.read.schema(ROWS).parquet(f"{folder}/scan"), self.stop, self.alert, self.dedupe)
+        stored.features.write.partitionBy("recorder").mode("overwrite").parquet(f"{folder}/features")
+        features = spark.read.schema(stored.features.schema).parquet(f"{folder}/features")
+        histograms.histograms(features.where("recorder NOT LIKE '%!_stopped' ESCAPE '!'")).write.mode("overwrite").parquet(f"{folder}/histograms")
+        stored.carved.write.mode("overwrite").parquet(f"{folder}/carved")
+        stored.alerts.write.mode("overwrite").parquet(f"{folder}/alerts")
+        stored.duplicates.write.mode("overwrite").parquet(f"{folder}/duplicates")
         if lines:
-            line = F.concat_ws("\t", "pos0", "feature", "context")
-            self.features.select("recorder", line.alias("value")).write.partitionBy("recorder").mode("overwrite").text(f"{folder}/lines")
+            sinks.write_feature_lines(features, f"{folder}/lines", mode="overwrite")
+        return stored
 
 
 def report(pages: DataFrame, options: Options | None = None, stop: DataFrame | None = None, alert: DataFrame | None = None, dedupe: bool = False, rows: DataFrame | None = None) -> Report:
-    rows = scan(pages, options) if rows is None else rows
-    own = first_places(rows) if dedupe else rows
-    found = own.where("kind IN ('feature', 'carved')").select("recorder", "source", "path", "offset", "pos0", "feature", "context", "is_utf16")
-    listed = lists.applied(found, stop, alert)
-    return Report(
-        features=listed,
-        histograms=histograms.histograms(listed.where("recorder NOT LIKE '%!_stopped' ESCAPE '!'")),
-        carved=own.where("kind = 'carved'").select("recorder", "pos0", F.col("feature").alias("rel_path"), F.octet_length("data").cast("long").alias("size"), "hash", "data"),
-        alerts=own.where("kind = 'alert'").select("source", "pos0", "feature", "context"),
-        duplicates=duplicates(rows),
-    )
+    """The parts of a scan, each made when it is asked for; Report.write scans once for all of them."""
+    return Report(scan(pages, options) if rows is None else rows, stop, alert, dedupe)
 
 
 def path_query(buf: bytes, path: str, settings: dict | None = None) -> bytes:

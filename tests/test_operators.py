@@ -198,6 +198,39 @@ def test_streams(spark, tmp_path):
     assert seen == ["abc@example.com"]
 
 
+def test_report_scans_once(spark, tmp_path):
+    from lodeseam.operators import lists
+    from lodeseam.plans.scan import Options, report
+    from lodeseam.sources.images import from_column
+
+    count = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(1, "write to abc@example.com or def@example.com"), (2, "and ghi@example.com")], "k long, t string")
+
+    def counted(batches):
+        for batch in batches:
+            count.add(len(batch))
+            yield batch
+
+    pages = from_column(df.mapInArrow(counted, df.schema), "t", "k")
+    stop, alert = lists.literals(spark, ["abc@example.com", "^gh[i]"]), lists.literals(spark, ["def@example.com"])
+    stored = report(pages, Options(only=("email",)), stop, alert, dedupe=True).write(str(tmp_path), lines=True)
+    assert count.value == 2
+    assert sorted((r.recorder, r.feature) for r in stored.features.where("feature LIKE '%@%'").collect()) == [
+        ("ALERTS_found", "def@example.com"), ("email", "def@example.com"), ("email_stopped", "abc@example.com"), ("email_stopped", "ghi@example.com")]
+    assert count.value == 2
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/lines/recorder=email").collect()]
+    assert lines[0] == "# lodeseam" and lines[1] == "# Feature-Recorder: email" and lines[-1].startswith("28\tdef@example.com\t")
+    assert {r.feature for r in spark.read.parquet(f"{tmp_path}/histograms").where("recorder = 'email' AND suffix = 'histogram'").collect()} == {"def@example.com"}
+
+
+def test_lists_keep_null_features(spark):
+    from lodeseam.operators import lists
+
+    df = spark.createDataFrame([("a", None, None), ("b", "abc", "x abc y"), ("c", "zzz", None)], "recorder string, feature string, context string")
+    stop = lists.literals(spark, ["a[b]c", *[f"q{i}[x]" for i in range(120)]])
+    assert sorted(r.recorder for r in lists.applied(df, stop).collect()) == ["a", "b_stopped", "c"]
+
+
 def test_both_paths_find_the_same(spark):
     """The native extractors and the byte scanners over one corpus."""
     from lodeseam.plans.scan import Options, scan
