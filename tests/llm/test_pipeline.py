@@ -58,3 +58,60 @@ def test_near_copies_from_080_up_go(spark):
             gone.add(2 * i + 1)
     kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows} - gone)
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """All stages on a small table with shared and null ids: exact sets, window by window, patterns, and the library."""
+    import re
+
+    import sentencepiece
+
+    from lodeseam.llm.sentencepieces import default_model
+
+    from .test_operators import PATTERNS, brute_hits, brute_pii, shingles
+
+    def words(k, n=60, swapped=()):
+        return " ".join(f"q{k}r{j}" if j in swapped else f"t{k}w{j}" for j in range(n))
+
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, words("a")), (1, words("b")), (2, words("a", swapped=[30])), (3, words("c") + ", write to me@example.com"), (3, words("c") + ", write to me@example.com"),
+        (None, words("d")), (None, words("e") + " at 10.1.2.3 or +49 30 123 456 78"), (9, words("d", swapped=[5])), (4, f"{words('f')}. {item}! {words('g')}"), (5, item.upper()),
+        (6, ""), (7, None), (8, words("h", 3)), (10, words("a").upper()), (11, words("i", 400) + " a@b.c" * 3),
+    ]
+    docs = frame(spark, [(i, t, "en", "s", len(t or "")) for i, t in rows])
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # Without bad labels no document is rejected.
+    kept = list(rows)
+    order = sorted(range(len(kept)), key=lambda i: (kept[i][0] is None, kept[i][0] or 0))
+    up = {i: i for i in order}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in order:
+        for b in order:
+            s, t = shingles(kept[a][1]), shingles(kept[b][1])
+            if a != b and (100 * len(s & t) >= 80 * len(s | t) if s and t else kept[a] == kept[b]):
+                x, y = sorted((top(a), top(b)), key=order.index)
+                up[y] = x
+    kept = [kept[i] for i in order if top(i) == i]
+    cleaned = []
+    for i, t in kept:
+        if t and brute_hits(t, [(1, item)])[1]:
+            t = re.sub(re.sub(" ", "[^a-z0-9]+", item), "", t, flags=re.I)
+            if not re.search(r"\w", t):
+                continue
+        for k, a, b in sorted(((x.split(":")[0], *map(int, x.split(":")[1:])) for x in brute_pii(t)), key=lambda x: -x[1]):
+            t = f"{t[:a]}[{k.upper()}]{t[b:]}"
+        cleaned.append((i, t))
+    assert set(PATTERNS) == {"email", "ip", "card", "phone"}
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    want = sorted(repr((i, library.encode(t or "", add_bos=True, add_eos=True))) for i, t in cleaned)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    got = docs.collect()
+    assert sorted(repr((r.doc_id, list(r.ids))) for r in got) == want and all(r.exact for r in got)
