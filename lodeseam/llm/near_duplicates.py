@@ -9,10 +9,12 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
    pairs grow with the members and not with their square.
 3. Pairs whose similarity of largest likelihood is too low are left; of the others the texts are fetched, the pairs are
    confirmed on the whole sets, and links are joined to components.
-4. Groups that still hold several components are gone through in blocks of BLOCK members, by their sketches alone. A group
-   of more members is split before, each pair meeting where it shares a second band. Of every two components that meet in
-   a block the pair most alike is confirmed first; of components still apart after that, all plausible pairs are. No pair
-   of a group goes without a comparison unless it is connected already.
+4. Groups that still hold several components are gone through in blocks of BLOCK members, by their sketches. A group of
+   more members is split before, each pair meeting where it shares a second band. In every round each document gives the
+   one of another component that is most alike, so pairs grow with the documents; these are confirmed and joined.
+5. After ROUNDS rounds, the texts of documents that still have a plausible partner in another component are fetched, and
+   all such pairs are confirmed inside the blocks, unless links found before connect them; only links that join
+   components leave a block. No pair of a group goes without a comparison unless it is connected already.
 
 With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8, and only one band
 with 2e-7; under 85 the bands are 43 of five registers, which gives the same at 80. The estimate must miss by the margin,
@@ -44,6 +46,7 @@ MARGIN = 0.12
 #: Registers of a band under PERCENT, where six would lose more.
 LOW_ROWS = 5
 BLOCK = 512
+ROUNDS = 2
 #: Ids of documents to be fetched are broadcast up to this number; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of the words whose hashes a worker keeps.
@@ -185,84 +188,129 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -
     return out
 
 
-def _across(groups: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different components inside each group (band, pos, node, root, n, sketch), in blocks.
+def _blocks(groups: DataFrame, percent: int, columns: list[str]) -> DataFrame:
+    """The members of each group (band, pos, node, and the columns), dealt so that each pair of blocks meets in one task.
 
-    A pair is looked at in the first band that it shares; where that band's group has more than BLOCK members, in the group
-    of those that share the second one too. Unless `every`, a block gives the pair most alike of every two components.
+    Where a band's group has more than BLOCK members, they meet in the groups of those that share a second band too.
     """
     width = _rows(percent)
     bands = REGISTERS // width
-    sizes = groups.groupBy("band").agg(F.count("*").alias("size"))
-    sized = groups.join(sizes, "band")
+    sized = groups.join(groups.groupBy("band").agg(F.count("*").alias("size")), "band")
     small = sized.where(F.col("size") <= BLOCK).withColumn("pos2", F.lit(-1))
     large = sized.where(F.col("size") > BLOCK).withColumn("pos2", F.explode(F.expr(f"filter(sequence(0, {bands - 1}), i -> i > pos)")))
     large = large.withColumn("band", F.xxhash64("band", F.expr(f"substring(sketch, pos2 * {width} + 1, {width})"), "pos2")).drop("size")
     large = large.join(large.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
     rows = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "pos2", "node", "root", "n", "sketch")
-    dealt = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, n, own, pos, pos2 = (t.column(c).to_numpy() for c in ("node", "root", "n", "own", "pos", "pos2"))
-        s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        first, second, alike = [], [], []
-        for x in range(len(node) - 1):
-            y = np.arange(x + 1, len(node))
-            y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            if not same_block:
-                y = y[own[y] != own[x]]
-            if not len(y):
-                continue
-            shared = (s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2)
-            here = shared.argmax(axis=1) == pos[x]
-            if pos2[x] >= 0:
-                shared[:, pos[x]] = False
-                here &= shared.any(axis=1) & (shared.argmax(axis=1) == pos2[x])
-            y = y[here]
-            counts = _counts(s[x], s[y])
-            ok = at_least(percent / 100 - _margin(percent), n[x], n[y], *counts)
-            first.append(np.full(int(ok.sum()), x))
-            second.append(y[ok])
-            alike.append(counts[2][ok])
-        if not first:
-            return node[:0], node[:0]
-        x, y, alike = np.concatenate(first), np.concatenate(second), np.concatenate(alike)
-        if not every:
-            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-            order = np.lexsort([node[y], node[x], -alike, high, low])
-            new = np.ones(len(order), bool)
-            new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-            x, y = x[order][new], y[order][new]
-        return node[x], node[y]
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "pos2", "node", *columns)
+    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _tables(batches) -> Iterator[pa.Table]:
+    """The rows of one pair of blocks after the other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            now = tuple(key[:, start])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _partners(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row by row the later rows of other components that are plausible and looked at here, and their equal registers.
+
+    A pair is looked at in the first band that it shares, or in the first two.
+    """
+    width = _rows(percent)
+    bands = REGISTERS // width
+    root, n, own, pos, pos2 = (t.column(c).to_numpy() for c in ("root", "n", "own", "pos", "pos2"))
+    s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    for x in range(len(n) - 1):
+        y = np.arange(x + 1, len(n))
+        y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        if not same_block:
+            y = y[own[y] != own[x]]
+        if not len(y):
+            continue
+        shared = (s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2)
+        here = shared.argmax(axis=1) == pos[x]
+        if pos2[x] >= 0:
+            shared[:, pos[x]] = False
+            here &= shared.any(axis=1) & (shared.argmax(axis=1) == pos2[x])
+        y = y[here]
+        counts = _counts(s[x], s[y])
+        ok = at_least(percent / 100 - _margin(percent), n[x], n[y], *counts)
+        if ok.any():
+            yield x, y[ok], counts[2][ok]
+
+
+def _best(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each document a with plausible partners in other components of its groups the one most alike."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in _tables(batches):
+            node = t.column("node").to_numpy()
+            alike, partner = np.full(len(node), -1, np.int64), np.zeros(len(node), np.int64)
+            for x, y, same in _partners(t, percent):
+                k = int(same.argmax())
+                if same[k] > alike[x]:
+                    alike[x], partner[x] = same[k], node[y[k]]
+                more = same > alike[y]
+                alike[y[more]], partner[y[more]] = same[more], node[x]
+            some = alike >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(v[some], pa.int64()) for v in (node, alike, partner)], names=["a", "alike", "b"])
+
+    found = _blocks(groups, percent, ["root", "n", "sketch"]).mapInArrow(run, "a long, alike long, b long")
+    return found.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+def _inside(groups: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) that join different components inside each group (with text), confirmed on the whole sets in the blocks."""
+
+    def links(t: pa.Table, shingles: Shingles) -> list[tuple[int, int]]:
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        text, sets, up, out = t.column("text"), {}, {r: r for r in root.tolist()}, []
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(text[i].as_py().encode())
+            return sets[i]
+
+        for x, y, _ in _partners(t, percent):
+            for z in y.tolist():
+                a, b = top(int(root[x])), top(int(root[z]))
+                if a != b:
+                    u, v = of(x), of(z)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    if common * 100 >= percent * (len(u) + len(v) - common):
+                        up[max(a, b)] = min(a, b)
+                        out.append((int(node[x]), int(node[z])))
+        return out
 
-        def out(t: pa.Table) -> pa.RecordBatch:
-            a, b = pairs(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for t in _tables(batches):
+            found = links(t, shingles)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        last = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                now = tuple(key[:, start])
-                if held and now != last:
-                    yield out(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(start, end - start))
-                last = now
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _blocks(groups, percent, ["root", "n", "sketch", "text"]).mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -287,16 +335,31 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(_plausible(stars, classes, percent), "stars")
     roots = components(links)
-    for every in (False, True):
+
+    def open_groups() -> DataFrame:
+        """Members of groups that hold several components."""
         placed = shared.select("band", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        rest = placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node")
-        rest = written(rest, "rest")
-        more = confirmed(_across(rest, percent, every), "more")
-        deleted(rest)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links)
+        return written(placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node"), "rest")
+
+    step = 0
+    while step <= ROUNDS:
+        rest = open_groups()
+        best = written(_best(rest, percent), "best")
+        if not best.limit(1).count():
+            deleted(rest, best)
+            break
+        if step < ROUNDS:
+            more = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+            step = step + 1 if more.limit(1).count() else ROUNDS
+        else:
+            fetched = _fetched(docs, signed, best.select(F.col("a").alias("node")), size)
+            more = written(_inside(rest.join(fetched, "node"), percent, size), "more")
+            deleted(fetched)
+            step += 1
+        deleted(rest, best)
+        links = links.unionByName(more)
+        roots = components(links)
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
     by_node = written(named.join(labels, "root").select("node", "root", "component_id"), "labels")
