@@ -12,8 +12,8 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
 4. Groups that still hold several components are gone through in blocks of BLOCK members, by their sketches. A group of
    more members is split before, each pair meeting where it shares a second band. In every round each document gives the
    one of another component that is most alike, so pairs grow with the documents; these are confirmed and joined.
-5. After ROUNDS rounds, the texts of documents that still have a plausible partner in another component are fetched, and
-   all such pairs are confirmed inside the blocks, unless links found before connect them; only links that join
+5. When a round gives no link, the texts of documents that still have a plausible partner in another component are fetched,
+   and all such pairs are confirmed inside the blocks, unless links found before connect them; only links that join
    components leave a block. No pair of a group goes without a comparison unless it is connected already.
 
 With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8, and only one band
@@ -46,7 +46,6 @@ MARGIN = 0.12
 #: Registers of a band under PERCENT, where six would lose more.
 LOW_ROWS = 5
 BLOCK = 512
-ROUNDS = 2
 #: Ids of documents to be fetched are broadcast up to this number; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of the words whose hashes a worker keeps.
@@ -342,21 +341,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
         open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
         return written(placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node"), "rest")
 
-    step = 0
-    while step <= ROUNDS:
+    more_rounds = True
+    while more_rounds:
         rest = open_groups()
         best = written(_best(rest, percent), "best")
         if not best.limit(1).count():
             deleted(rest, best)
             break
-        if step < ROUNDS:
-            more = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-            step = step + 1 if more.limit(1).count() else ROUNDS
-        else:
+        more = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+        more_rounds = more.limit(1).count() > 0
+        if not more_rounds:
             fetched = _fetched(docs, signed, best.select(F.col("a").alias("node")), size)
             more = written(_inside(rest.join(fetched, "node"), percent, size), "more")
             deleted(fetched)
-            step += 1
         deleted(rest, best)
         links = links.unionByName(more)
         roots = components(links)
