@@ -1,32 +1,75 @@
 """Connected components of a links table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and an equi-join, so no vertex's neighbours are ever collected, and a vertex with many
-links is split by the partial aggregate and the skew join. Every step is written to the shared folder.
+links is split by the partial aggregate and the skew join. Before each step the links that lie together, CHUNK at a time,
+become stars without a shuffle. Every step is written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import deleted, written
 
+#: Links that a task holds at one time.
+CHUNK = 1 << 17
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, that connect the same vertices: within every CHUNK each vertex is linked to its smallest only."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in held:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                up[max(a, b)] = min(a, b)
+        pairs = [(x, top(x)) for x in list(up)]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs if p[0] != p[1]], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for start in range(0, len(batch), CHUNK):
+                held.append(batch.slice(start, CHUNK))
+                rows += len(held[-1])
+                if rows >= CHUNK:
+                    yield star(held)
+                    held, rows = [], 0
+        if held:
+            yield star(held)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a vertex has links to several smaller ones, or to smaller and larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").limit(1).count() > 0
+
 
 def components(links: DataFrame) -> DataFrame:
-    """From links (a, b: long) to (node, root): the smallest node reachable, for every node that has a link."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
+    """From links (a, b: long) to (node, root): the smallest node reachable, for every node linked to another one."""
+    edges = written(_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")), "links")
+    while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        before, edges = edges, written(small.where("u <> v").distinct(), "links")
-        deleted(before)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+        step = written(small.where("u <> v").distinct(), "links")
+        before, edges = edges, written(_stars(step), "links")
+        deleted(before, step)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,12 +9,14 @@ words has an empty set and no link). Two documents are linked if 100 * intersect
    pairs grow with the members and not with their square.
 3. Pairs whose similarity of largest likelihood is too low are left; of the others the texts are fetched, the pairs are
    confirmed on the whole sets, and links are joined to components.
-4. Groups that still hold several components are gone through in blocks of BLOCK members, by their sketches. A group of
-   more members is split before, each pair meeting where it shares a second band. In every round each document gives the
-   one of another component that is most alike, so pairs grow with the documents; these are confirmed and joined.
-5. When a round gives no link, the texts of documents that still have a plausible partner in another component are fetched,
-   and all such pairs are confirmed inside the blocks, unless links found before connect them; only links that join
-   components leave a block. No pair of a group goes without a comparison unless it is connected already.
+4. Groups that still hold several components are gone through in blocks, by their sketches. Members of the component that
+   has most of a group do not meet each other, so rows grow with the members. Where over BLOCK members are of others, each
+   pair meets where it shares a second band. Each document gives the one of another component that is most alike, so pairs
+   grow with the documents; these are confirmed and joined.
+5. The groups are gone through once more. The texts of documents that still have a plausible partner in another component
+   go to the groups where they have it, and all such pairs are confirmed inside the blocks, unless links found before connect
+   them; only links that join components leave a block. No pair of a group goes without a comparison unless it is connected
+   already.
 
 With 36 bands of six registers, a pair at the threshold of 85 shares no band with a probability of 2e-8, and only one band
 with 2e-7; under 85 the bands are 43 of five registers, which gives the same at 80. The estimate must miss by the margin,
@@ -187,22 +189,36 @@ def _fetched(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -
     return out
 
 
+def _shares(groups: DataFrame) -> DataFrame:
+    """Per band: the component with most members there, their blocks, the number of other members and the blocks of these."""
+    counts = groups.groupBy("band", "root").agg(F.count("*").alias("count"))
+    most = counts.groupBy("band").agg(F.sum("count").alias("all"), F.max(F.struct("count", "root")).alias("most"))
+    shares = most.select("band", F.col("most.root").alias("main"), F.col("most.count").alias("held"), (F.col("all") - F.col("most.count")).alias("others"))
+    return shares.select("band", "main", "others", F.ceil(F.col("held") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("others") / BLOCK).cast("int").alias("rests"))
+
+
 def _blocks(groups: DataFrame, percent: int, columns: list[str]) -> DataFrame:
-    """The members of each group (band, pos, node, and the columns), dealt so that each pair of blocks meets in one task.
+    """The members of each group (band, pos, node, root and the columns), dealt so that those of different components meet.
 
-    Where a band's group has more than BLOCK members, they meet in the groups of those that share a second band too.
+    Members of the component that has most in the group need not meet each other: each of their blocks meets each block of
+    the others, in (i, 0) and up, and the others' blocks meet in (i, -k). So rows grow with the members while the others
+    fit one block. Where they do not, they meet in the groups of those that share a second band too.
     """
     width = _rows(percent)
     bands = REGISTERS // width
-    sized = groups.join(groups.groupBy("band").agg(F.count("*").alias("size")), "band")
-    small = sized.where(F.col("size") <= BLOCK).withColumn("pos2", F.lit(-1))
-    large = sized.where(F.col("size") > BLOCK).withColumn("pos2", F.explode(F.expr(f"filter(sequence(0, {bands - 1}), i -> i > pos)")))
-    large = large.withColumn("band", F.xxhash64("band", F.expr(f"substring(sketch, pos2 * {width} + 1, {width})"), "pos2")).drop("size")
-    large = large.join(large.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
-    rows = small.unionByName(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "pos2", "node", *columns)
+    sized = groups.withColumn("group", F.col("band")).join(_shares(groups), "band")
+    small = sized.where(F.col("others") <= BLOCK).withColumn("pos2", F.lit(-1))
+    large = sized.where(F.col("others") > BLOCK).withColumn("pos2", F.explode(F.expr(f"filter(sequence(0, {bands - 1}), i -> i > pos)")))
+    large = large.withColumn("band", F.xxhash64("band", F.expr(f"substring(sketch, pos2 * {width} + 1, {width})"), "pos2")).drop("main", "others", "mains", "rests")
+    large = large.join(_shares(large), "band").where("others > 0")
+    rows = small.unionByName(large).withColumn("own", F.expr("if(root = main, -1, int(pmod(xxhash64(node), rests)))"))
+    alone = rows.where("mains = 1 AND rests = 1").withColumn("at", F.expr("named_struct('i', 0, 'j', 0)"))
+    main = "transform(sequence(0, rests - 1), x -> named_struct('i', x, 'j', int(pmod(xxhash64(node), mains))))"
+    other = "transform(sequence(0, mains - 1), x -> named_struct('i', own, 'j', x))"
+    after = "transform(filter(sequence(0, rests - 1), x -> x > own), x -> named_struct('i', own, 'j', -x))"
+    before = "transform(filter(sequence(0, rests - 1), x -> x < own), x -> named_struct('i', x, 'j', -own))"
+    dealt = rows.where("mains > 1 OR rests > 1").withColumn("at", F.explode(F.expr(f"if(own < 0, {main}, concat({other}, {after}, {before}))")))
+    keyed = alone.unionByName(dealt).select("band", "at.i", "at.j", "own", "pos", "pos2", "group", "node", *columns)
     return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
@@ -234,12 +250,14 @@ def _partners(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.n
     width = _rows(percent)
     bands = REGISTERS // width
     root, n, own, pos, pos2 = (t.column(c).to_numpy() for c in ("root", "n", "own", "pos", "pos2"))
-    s, same_block = _matrix(t.column("sketch").combine_chunks()), t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    s, j = _matrix(t.column("sketch").combine_chunks()), t.column("j")[0].as_py()
     for x in range(len(n) - 1):
         y = np.arange(x + 1, len(n))
         y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-        if not same_block:
+        if j < 0:
             y = y[own[y] != own[x]]
+        elif j and own[x] >= 0:
+            y = y[own[y] < 0]
         if not len(y):
             continue
         shared = (s[x] == s[y])[:, : bands * width].reshape(len(y), bands, width).all(axis=2)
@@ -255,7 +273,7 @@ def _partners(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def _best(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each document a with plausible partners in other components of its groups the one most alike."""
+    """(group, a, alike, b): for each document a with plausible partners in other components of a group the one most alike."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for t in _tables(batches):
@@ -268,10 +286,10 @@ def _best(groups: DataFrame, percent: int) -> DataFrame:
                 more = same > alike[y]
                 alike[y[more]], partner[y[more]] = same[more], node[x]
             some = alike >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(v[some], pa.int64()) for v in (node, alike, partner)], names=["a", "alike", "b"])
+            group = t.column("group").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(v[some], pa.int64()) for v in (group, node, alike, partner)], names=["group", "a", "alike", "b"])
 
-    found = _blocks(groups, percent, ["root", "n", "sketch"]).mapInArrow(run, "a long, alike long, b long")
-    return found.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return _blocks(groups, percent, ["root", "n", "sketch"]).mapInArrow(run, "group long, a long, alike long, b long")
 
 
 def _inside(groups: DataFrame, percent: int, size: int) -> DataFrame:
@@ -341,22 +359,25 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
         open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
         return written(placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node"), "rest")
 
-    more_rounds = True
-    while more_rounds:
+    def joined(more: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    for last in (False, True):
         rest = open_groups()
         best = written(_best(rest, percent), "best")
         if not best.limit(1).count():
             deleted(rest, best)
             break
-        more = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-        more_rounds = more.limit(1).count() > 0
-        if not more_rounds:
-            fetched = _fetched(docs, signed, best.select(F.col("a").alias("node")), size)
-            more = written(_inside(rest.join(fetched, "node"), percent, size), "more")
+        if last:
+            fetched = _fetched(docs, signed, best.select(F.col("a").alias("node")).distinct(), size)
+            met = rest.join(best.select(F.col("group").alias("band"), F.col("a").alias("node")), ["band", "node"], "left_semi")
+            more = written(_inside(met.join(fetched, "node"), percent, size), "more")
             deleted(fetched)
+        else:
+            likeliest = best.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            more = confirmed(likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
         deleted(rest, best)
-        links = links.unionByName(more)
-        roots = components(links)
+        roots = joined(more)
     named = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = named.groupBy("root").agg(F.min("label").alias("component_id"))
     by_node = written(named.join(labels, "root").select("node", "root", "component_id"), "labels")
