@@ -59,17 +59,32 @@ def _unfinished(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").limit(1).count() > 0
 
 
-def components(links: DataFrame) -> DataFrame:
-    """From links (a, b: long) to (node, root): the smallest node reachable, for every node linked to another one."""
-    edges = written(_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")), "links")
-    while _unfinished(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def forest(links: DataFrame) -> DataFrame:
+    """From links (a, b: long) to (node, root): the smallest node reachable, for every node linked to a smaller one.
+
+    Links are read twice, so they should be a written table. Tasks hold CHUNK links each, however the links were dealt;
+    links that all fit one task are settled by it.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    before = None
+    while True:
+        tasks = max(1, -(-edges.count() // CHUNK))
+        stars = written(_stars(edges.coalesce(tasks)), "links")
+        if before is not None:
+            deleted(before)
+        if tasks == 1 or not _unfinished(stars):
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        step = written(small.where("u <> v").distinct(), "links")
-        before, edges = edges, written(_stars(step), "links")
-        deleted(before, step)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        edges = before = written(small.where("u <> v").distinct(), "links")
+        deleted(stars)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """forest(links) with the roots themselves: (node, root) for every node linked to another one."""
+    found = forest(links)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

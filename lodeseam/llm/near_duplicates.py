@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import chunks, deleted, texts, written
-from .components import components
+from .components import forest
 from .setsketch import REGISTERS, ROWS, at_least, mix, sketches
 
 WORDS = 5
@@ -351,7 +351,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
 
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(_plausible(stars, classes, percent), "stars")
-    roots = components(links)
+    roots = forest(links)
 
     def open_groups() -> DataFrame:
         """Members of groups that hold several components."""
@@ -360,7 +360,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFr
         return written(placed.join(open_bands, "band").join(classes.select("node", "n", "sketch"), "node"), "rest")
 
     def joined(more: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        return forest(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     for last in (False, True):
         rest = open_groups()

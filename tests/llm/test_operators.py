@@ -465,6 +465,14 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 8)
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 20)]
+    random.Random(3).shuffle(chain)
+    got = {(r.node, r.root) for r in components.components(spark.createDataFrame(chain, "a long, b long").repartition(8)).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(20)}
+
+
 # 9
 
 
