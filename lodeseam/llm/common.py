@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Texts that a Python worker holds as objects at one time, in bytes.
 CHUNK_BYTES = 4 << 20
+#: Bytes after which Spark closes a batch of rows for a Python worker. Its own bound, 64 MB, is held by executor and worker.
+BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader holds at one time; with texts its own 4096 make arrays of tens of MB, which spread the heap.
+READ_ROWS = 512
 #: Labels whose crc32(doc_id as text) is divisible by this are kept apart from every fit.
 FOLDS = 5
 
@@ -36,6 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session closes batches for Python workers at BATCH_BYTES and reads Parquet by READ_ROWS; lower bounds stay.
+
+    Spark reads both when a plan runs, so they cannot be bound to a DataFrame. A row is never cut.
+    """
+    to_workers, read = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(to_workers))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(to_workers, str(BATCH_BYTES))
+    if int(spark.conf.get(read)) > READ_ROWS:
+        spark.conf.set(read, str(READ_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
@@ -66,8 +84,15 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             total += n
         if start < len(sizes):
             yield batch.slice(start)
-    # Workers are used again by other tasks: what the pool holds on to is given back.
+    give_back()
+
+
+def give_back() -> None:
+    """Gives the system what Arrow's pool and the C library hold on to: workers stay for other tasks, some of them idle."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, deleted, texts, written
+from .common import chunks, deleted, give_back, small_batches, texts, written
 from .components import forest
 from .setsketch import REGISTERS, ROWS, at_least, mix, sketches
 
@@ -240,6 +240,8 @@ def _tables(batches) -> Iterator[pa.Table]:
             last = now
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    give_back()
 
 
 def _partners(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -332,6 +334,7 @@ def _inside(groups: DataFrame, percent: int, size: int) -> DataFrame:
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, node, root (a node that names its component) and component_id."""
+    small_batches(docs.sparkSession)
     signed = written(signatures(docs, size), "signed")
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")

@@ -115,3 +115,39 @@ def test_stages_equal_brute_force(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     got = docs.collect()
     assert sorted(repr((r.doc_id, list(r.ids))) for r in got) == want and all(r.exact for r in got)
+
+
+def test_workers_get_small_batches(spark):
+    """Stages hold few texts in executor and worker: 12 MB came as one batch. Texts over the bound stay whole."""
+    import pyarrow as pa
+
+    from lodeseam.llm.common import BATCH_BYTES, READ_ROWS
+
+    key, read = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {k: spark.conf.get(k) for k in (key, read)}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)], "bytes": [batch.nbytes]})
+
+    many = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+    long = " ".join(f"w{k}" for k in range(BATCH_BYTES // 7))
+    docs = frame(spark, [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long) + 4), (3, long[::-1], "en", "s", len(long))])
+    assert len(long) > BATCH_BYTES
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            if stage is corpus_pipeline.personal_data:  # no Python workers
+                continue
+            spark.conf.set(key, "64m")
+            spark.conf.set(read, "4096")
+            stage(spark, docs, SF)
+            found = many.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in found) == 6000 and max(r.bytes for r in found) < 1.1 * BATCH_BYTES, stage.__name__
+            assert spark.conf.get(read) == str(READ_ROWS), stage.__name__
+        assert [(r.doc_id, r.text == long or r.text == long[::-1]) for r in corpus_pipeline.near_dedup(spark, docs, SF).orderBy("doc_id").collect()] == [(1, True), (3, True)]
+        spark.conf.set(key, "1m")
+        corpus_pipeline.encoding(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
