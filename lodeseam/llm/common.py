@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +11,8 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import deleted, shared_dir, written  # noqa: F401
+
 #: Texts that a Python worker holds as objects at one time, in bytes.
 CHUNK_BYTES = 4 << 20
 #: Bytes after which Spark closes a batch of rows for a Python worker. Its own bound, 64 MB, is held by executor and worker.
@@ -29,18 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set, a temporary one, but only on a single machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodeseam-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def small_batches(spark: SparkSession) -> None:
     """From now on the session closes batches for Python workers at BATCH_BYTES and reads Parquet by READ_ROWS; lower bounds stay.
 
@@ -54,24 +42,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(read, str(READ_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def deleted(*tables: DataFrame) -> None:
-    """Deletes tables that written() gave and that nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about `most` bytes; one row at least, however long."""
     for batch in batches:
