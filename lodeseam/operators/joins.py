@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task sorts; about 100 bytes each are held.
+TASK_ROWS = 1 << 20
+
 
 def as_of(places: DataFrame, runs: DataFrame, keys: list[str], at: str, start: str, end: str, buckets: int = 64, width: int | None = None) -> DataFrame:
     """places with the columns of the last run that starts at or before them and has not ended; else nulls.
@@ -50,7 +55,36 @@ def islands(df: DataFrame, keys: list[str], order: str, follows: Column) -> Data
     return marked.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", f"__previous_{order}")
 
 
-def consecutive(df: DataFrame, keys: list[str], order: str, step: int = 1) -> DataFrame:
-    """Runs of rows whose order column goes up by `step`: keys, first, last, n."""
-    runs = islands(df, keys, order, F.col(order) == F.col(f"__previous_{order}") + step)
-    return runs.groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("island")
+def parts_of(df: DataFrame) -> int:
+    """Parts of about TASK_ROWS rows, at least one for each core. Of a plain Parquet table only the footers are read."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def runs(df: DataFrame, keys: list[str], steps: dict[str, int], parts: int | None = None, distinct: bool = False) -> DataFrame:
+    """Runs of rows, in the order of the columns in `steps`, that each go up by their step: keys, first_<column> and
+    last_<column>, n. With distinct, equal rows count as one.
+
+    Only a run's first and last row are kept, by their neighbours in one sorted order, so no table of rows or runs is held:
+    a task holds what it sorts. With parts the rows are dealt by keys into so many tasks.
+    """
+    rows = df.select(*keys, *steps)
+    rows = rows.repartition(parts, *keys) if parts else rows
+    w = Window.partitionBy(*keys).orderBy(*steps)
+    every = lambda f: functools.reduce(lambda a, b: a & b, [f(c, step) for c, step in steps.items()])
+    if distinct:
+        again = every(lambda c, _: F.lag(c).over(w).eqNullSafe(F.col(c))) & (F.row_number().over(w) > 1)
+        rows = rows.withColumn("__again", again).where("NOT __again").drop("__again")
+    follows = every(lambda c, step: F.lag(c).over(w) + step == F.col(c))
+    goes_on = every(lambda c, step: F.col(c) + step == F.lead(c).over(w))
+    no = F.lit(False)
+    ends = rows.withColumns({"__first": ~F.coalesce(follows, no), "__last": ~F.coalesce(goes_on, no)}).where("__first OR __last")
+    lasts = {f"last_{c}": F.when(F.col("__last"), F.col(c)).otherwise(F.lead(c).over(w)) for c in steps}
+    first, step = next(iter(steps.items()))
+    n = F.coalesce(F.floor((F.col(f"last_{first}") - F.col(first)) / step).cast("long") + 1, F.lit(1).cast("long"))
+    return ends.withColumns(lasts).where("__first").select(*keys, *[x for c in steps for x in (F.col(c).alias(f"first_{c}"), F.col(f"last_{c}"))], n.alias("n"))
+
+
+def consecutive(df: DataFrame, keys: list[str], order: str, step: int = 1, parts: int | None = None, distinct: bool = False) -> DataFrame:
+    """Runs of rows whose order column goes up by `step`: keys, first, last, n. See runs()."""
+    found = runs(df, keys, {order: step}, parts, distinct)
+    return found.select(*keys, F.col(f"first_{order}").alias("first"), F.col(f"last_{order}").alias("last"), "n")
