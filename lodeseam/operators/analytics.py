@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import runs
+
 #: Drives of a set that are paired with as many others in one row.
 DRIVES_BLOCK = 256
 
@@ -157,16 +159,11 @@ def source_scores(blocks: DataFrame, sources: DataFrame, block_size: int = 512)
     return found.join(sources, "source").select("source", "blocks", F.least(F.col("blocks") / whole, F.lit(1.0)).alias("score"))
 
 
-def block_runs(blocks: DataFrame, step: int = 8) -> DataFrame:
-    """Runs of blocks of a source that stand `step` sectors apart on the disk and one apart in the file."""
-    w = Window.partitionBy("source", "__phase").orderBy("disk_block", "file_block")
+def block_runs(blocks: DataFrame, step: int = 8, parts: int | None = None, distinct: bool = False) -> DataFrame:
+    """Runs of blocks of a source that stand `step` sectors apart on the disk and one apart in the file. See joins.runs()."""
     rows = blocks.withColumn("__phase", F.pmod(F.col("disk_block"), F.lit(step)))
-    follows = (F.lag("disk_block").over(w) + step == F.col("disk_block")) & (F.lag("file_block").over(w) + 1 == F.col("file_block"))
-    marked = rows.withColumn("__new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("source", "__phase", "__run").agg(
-        F.min("disk_block").alias("first_block"), F.max("disk_block").alias("last_block"), F.min("file_block").alias("file_start"), F.count("*").alias("n")
-    ).drop("__phase", "__run")
+    found = runs(rows, ["source", "__phase"], {"disk_block": step, "file_block": 1}, parts, distinct)
+    return found.select("source", F.col("first_disk_block").alias("first_block"), F.col("last_disk_block").alias("last_block"), F.col("first_file_block").alias("file_start"), "n")
 
 
 def merged_runs(runs: DataFrame, gap: int) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 from lodeseam import queries
-from lodeseam.operators import joins
+from lodeseam.operators import analytics, joins
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +34,15 @@ def test_consecutive_equals_brute_force(spark):
     assert sorted(map(tuple, joins.consecutive(spark.createDataFrame([(1, 4), (1, 5), (1, 5), (1, 6)], "key int, k long"), ["key"], "k").collect())) == [(1, 4, 5, 2), (1, 5, 6, 2)]
 
 
+def test_block_runs_with_equal_and_crossing_rows(spark):
+    rows = [(1, 0, 0), (1, 8, 1), (1, 8, 1), (1, 16, 2), (1, 4, 7), (1, 12, 8), (1, 16, 5), (1, 24, 6), (2, 24, 3), (2, None, 1), (2, None, 1)]
+    df = spark.createDataFrame(rows, "source int, disk_block long, file_block long")
+    got = sorted(map(tuple, analytics.block_runs(df, parts=3, distinct=True).collect()), key=repr)
+    assert got == sorted([(1, 0, 16, 0, 3), (1, 4, 12, 7, 2), (1, 16, 24, 5, 2), (2, 24, 24, 3, 1), (2, None, None, 1, 1)], key=repr)
+
+
 def test_tasks_hold_what_they_sort(spark, monkeypatch):
-    for name in ("gaps_islands_runs",):
+    for name in ("gaps_islands_runs", "hash_block_runs"):
         assert "HashAggregate" not in plan(queries.QUERIES[name](spark, SF))
         monkeypatch.setattr(joins, "TASK_ROWS", 500)
         rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
